@@ -70,7 +70,7 @@ def _spans_sql(rules, table: str, key: str, text: str) -> str:
     )
     return f"""found as ({rows}),
 spans as (select k, ord, neg, i, length(array_to_string(p[1:i], '')) + coalesce(length(array_to_string(m[1:i - 1], '')), 0) as s, m[i] as match from (select *, unnest(generate_series(1, len(m))) as i from found)),
-capped as (select * from (select *, row_number() over (partition by k order by ord, i) as n from spans) where n <= 200),
+capped as (select * from (select *, row_number() over (partition by k order by ord, i) as c from spans) where c <= 200),
 sorted as (select *, s + length(match) as e, row_number() over (partition by k order by s, neg, ord, i) as n from capped),
 walk(k, n, last, kept, taken) as (
   select k, 0::bigint, 0::bigint, false, 0 from (select distinct k from sorted)
