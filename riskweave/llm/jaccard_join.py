@@ -10,11 +10,14 @@ Shingles are 64-bit hashes. The join runs in these steps, none of which gathers
    partners share ``k`` of the rarest ``n - need + k`` shingles of either, for every ``k``. Each document takes the
    ``k`` with the least estimated cost (entries to scan, plus candidates that reach ``k`` matches, times the cost of a
    check). A pair is then held to the smaller ``k`` of the two, counted over the prefixes of that length.
-4. *Links.* Documents with equal sets are one class from the start. In rounds, each posting list compares its members
-   with one pivot (linear, whatever its length), and verified links are folded into components; the posting lists that
-   still span several components go on. Once the pairs left across components are few beside the prefixes, or the
-   rounds are used up, all of those pairs are enumerated, held to the shared-prefix count and verified. Pairs inside
-   one component need no check: their connection is already known. So components are exact.
+4. *Links.* Documents with equal sets are one class from the start, and so are documents with as many shingles and the
+   same shared ones: what they share with any document is the same, so they have the same links. A pair's overlap is at
+   most the shared shingles of either, less those whose bit (of 512) the other has not set, which decides most pairs
+   without a look at the sets. Rounds come first in which each list compares its members with one pivot (linear,
+   whatever its length); verified links are folded into components, and only lists that still span several components go
+   on. When the pairs left are few beside the prefixes, or the rounds are used up, all pairs left across components are enumerated, each once (at the first shared token of its
+   prefixes), held to the shared-prefix count and verified. Pairs inside one component need no check: their connection
+   is known. So components are exact.
 
 A collision of 64-bit shingle hashes inside one pair of documents (about 1e-14 for a pair of 600 words) is the only
 source of error.
@@ -40,7 +43,8 @@ CHUNK_DOCS = 60_000
 INLINE = 64
 MAX_MATCHES = 16
 CHECK_COST = 20.0
-ROUNDS = 5
+ROUNDS = 3
+PAIRS_PER_ROW = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -207,7 +211,8 @@ def choose(dfs: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return k, base + k - 1
 
 
-ACTIVE = "sig binary, size int, matches int, base int, prefix array<long>, tokens array<long>"
+ACTIVE = "sig binary, node binary, size int, matches int, base int, bits array<long>, prefix array<long>, tokens array<long>"
+BITS = 512
 
 
 def _prefixes(percent: int):
@@ -243,8 +248,11 @@ def _prefixes(percent: int):
                 if k and sig not in seen:
                     seen.add(sig)
                     signed = toks[a:b].view(np.int64)
-                    out.append((sig, int(sizes[d]), k, length - k + 1, signed[:length], signed))
-        return pd.DataFrame(out, columns=["sig", "size", "matches", "base", "prefix", "tokens"])
+                    node = xxhash.xxh3_128_digest(np.append(np.sort(toks[a:b]), np.uint64(sizes[d])).tobytes())
+                    bits = np.zeros(BITS, bool)
+                    bits[(toks[a:b] % np.uint64(BITS)).astype(np.int64)] = True
+                    out.append((sig, node, int(sizes[d]), k, length - k + 1, np.packbits(bits).view("<i8"), signed[:length], signed))
+        return pd.DataFrame(out, columns=["sig", "node", "size", "matches", "base", "bits", "prefix", "tokens"])
 
     return rows
 
@@ -269,56 +277,69 @@ def components(spark: SparkSession, links: DataFrame, labels: DataFrame | None =
             return labels
 
 
-def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+def _reach(na, nb, overlap, percent: int):
+    return overlap * 100 >= (na + nb - overlap) * percent
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sets reach the threshold; overlap is counted on the shared tokens."""
-    a = active.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
-    b = active.select(F.col("sig").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
+    a = nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
+    b = nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
-
-
-def link_components(spark: SparkSession, active: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """(node, comp) of every class of documents that links with another one."""
-    level = F.greatest(F.lit(1), F.col("at") - F.col("base") + 2)
-    prefix = active.select("sig", "size", "matches", "base", F.posexplode("prefix").alias("at", "token"))
-    prefix = materialize(spark, prefix.select("token", "sig", "size", "matches", level.alias("level")), "prefix")
-    total = prefix.count()
-    links, comps = None, None
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    def labelled() -> DataFrame:
-        if comps is None:
-            return prefix.withColumn("comp", F.col("sig"))
-        own = comps.withColumnRenamed("node", "sig")
-        return prefix.join(own, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-
-    def fold(pairs: DataFrame) -> None:
-        nonlocal links, comps
-        found = materialize(spark, _verified(pairs, active, percent), "found")
+    return both.filter(_reach(F.col("na"), F.col("nb"), F.col("common"), percent)).select("a", "b")
+
+
+def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """(node, comp) of every node (size, matches, base, prefix, tokens) that links with another one."""
+    rows = nodes.select("node", "size", F.size("tokens").alias("m"), F.explode("prefix").alias("token"))
+    alone = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    rows = materialize(spark, rows.join(alone, "token", "left_semi").withColumn("comp", F.col("node")), "prefix")
+    total = rows.count()
+    links = found = comps = None
+
+    def fold(pairs: DataFrame) -> DataFrame:
+        nonlocal links, found
+        found = materialize(spark, _verified(pairs, nodes, percent), "found")
         links = found if links is None else links.union(found)
-        comps = components(spark, links)
+        return components(spark, links)
+
+    words = [F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64)]
+
+    def less_apart(x: str, y: str):
+        """Upper bound of the overlap: a bit of one that the other lacks stands for a shingle that it lacks."""
+        apart = lambda a, b: sum((F.bit_count(F.col(f"{a}b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}b{k}")))) for k in range(BITS // 64)), F.lit(0))
+        return F.least(F.col(f"{x}m") - apart(x, y), F.col(f"{y}m") - apart(y, x))
+
+    def possible(x: str, y: str):
+        size, m = (lambda s: F.col(f"{s}size")), (lambda s: F.col(f"{s}m"))
+        return _reach(size(x), size(y), F.least(m(x), m(y)), percent)
 
-    if total == 0:
-        return spark.createDataFrame([], "node binary, comp binary")
     for r in range(rounds + 1):
-        rows = labelled()
-        per_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("sig", F.lit(r)), "sig", "comp", "size")).alias("pivot"))
+        per_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp", "size", "m")).alias("pivot"))
         lists = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("pivot").alias("pivot"))
-        left = materialize(spark, lists.filter("comps > 1"), "lists")
-        pairs_left = left.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if pairs_left == 0:
+        lists = materialize(spark, lists.filter("comps > 1"), "lists")
+        left = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
+        if left == 0:
             break
-        if pairs_left <= 2 * total or r == rounds:
-            rows = materialize(spark, rows.join(left.select("token"), "token", "left_semi"), "open")
-            x = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("sig", "size", "matches", "level", "comp")))
-            y = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("sig", "size", "matches", "level", "comp")))
-            k = F.least("matches_a", "matches_b")
-            cand = x.join(y, "token").filter((F.col("comp_a") != F.col("comp_b")) & (F.col("sig_a") < F.col("sig_b")) & close(F.col("size_a"), F.col("size_b")) & (F.col("level_a") <= k) & (F.col("level_b") <= k))
-            cand = cand.groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.count("*").alias("shared"), F.first(k).alias("k")).filter("shared >= k")
-            fold(cand)
+        if (r and left <= PAIRS_PER_ROW * total) or r == rounds:
+            open_ = rows.join(lists.select("token"), "token", "left_semi").select("token", "node", "comp")
+            open_ = open_.join(nodes.select("node", "size", F.size("tokens").alias("m"), "matches", "base", "prefix", *words), "node")
+            open_ = open_.withColumn("before", F.slice("prefix", F.lit(1), F.array_position("prefix", F.col("token")).cast("int") - 1))
+            after = F.slice("prefix", F.array_position("prefix", F.col("token")).cast("int"), F.size("prefix"))
+            open_ = materialize(spark, open_.select("token", "node", "comp", "size", "m", "matches", "base", "before", F.when(F.col("matches") > 1, after).alias("rest"), *(f"b{k}" for k in range(BITS // 64))), "open")
+            x, y = (open_.select("token", *(F.col(c).alias(f"{s}{c}") for c in ("node", "comp", "size", "m", "matches", "base", "before", "rest", *(f"b{k}" for k in range(BITS // 64))))) for s in "xy")
+            k = F.least("xmatches", "ymatches")
+            head = lambda s: F.slice(F.col(f"{s}rest"), F.lit(1), F.greatest(F.lit(0), F.col(f"{s}base") + k - 1 - F.size(f"{s}before")))
+            enough = F.when(k == 1, True).otherwise(F.size(F.array_intersect(head("x"), head("y"))) >= k)
+            wanted = (F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & possible("x", "y") & _reach(F.col("xsize"), F.col("ysize"), less_apart("x", "y"), percent) & ~F.arrays_overlap("xbefore", "ybefore") & enough
+            pairs = x.join(y, (x["token"] == y["token"]) & wanted).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+            comps = fold(pairs)
             break
-        stars = rows.join(left.select("token", "pivot"), "token").filter((F.col("comp") != F.col("pivot.comp")) & close(F.col("size"), F.col("pivot.size")))
-        fold(stars.select(F.least("sig", "pivot.sig").alias("a"), F.greatest("sig", "pivot.sig").alias("b")).distinct())
+        rows = rows.join(lists.select("token", "pivot"), "token")
+        stars = rows.select("*", *(F.col(f"pivot.{c}").alias(f"p{c}") for c in ("node", "comp", "size", "m"))).filter((F.col("comp") != F.col("pcomp")) & possible("", "p"))
+        comps = fold(stars.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct())
+        rows = rows.drop("pivot", "comp").join(comps, "node", "left").select("node", "size", "m", "token", F.coalesce("comp", "node").alias("comp"))
+        rows = materialize(spark, rows, "prefix")
     return comps if comps is not None else spark.createDataFrame([], "node binary, comp binary")
 
 
@@ -343,13 +364,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     shared = lists.groupBy("key").applyInPandas(_frequencies, SHARED)
     active = shared.groupBy("chunk").applyInPandas(_prefixes(percent), ACTIVE).dropDuplicates(["sig"])
     active = materialize(spark, active, "active")
-    comps = link_components(spark, active, percent)
-
+    nodes = materialize(spark, active.drop("sig").dropDuplicates(["node"]), "nodes")
+    comps = link_components(spark, nodes, percent)
+
+    # a class of equal sets belongs to the component of its node, to its node if the node's sets reach each other, or to itself
+    mutual = _reach(F.col("size"), F.col("size"), F.size("tokens"), percent)
+    members = active.select("sig", "node", mutual.alias("mutual")).join(comps, "node", "left")
+    members = members.select("sig", F.when(F.col("comp").isNotNull(), F.col("comp")).when(F.col("mutual"), F.col("node")).alias("comp")).filter("comp is not null")
+    members = materialize(spark, members, "members")
     classes = base.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    named = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = classes.join(members, "sig", "left").filter("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    groups = named.join(comps.select("comp").distinct().withColumn("linked", F.lit(True)), "comp", "left").filter("n > 1 or linked")
-    groups = groups.join(least, "comp").select("sig", "component_id")
+    groups = named.join(least, "comp").select("sig", "component_id")
     out = base.join(groups, "sig", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
