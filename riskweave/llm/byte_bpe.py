@@ -3,8 +3,8 @@
 Encoding: a text is cut by the tokenizer's pattern; a piece that is itself in the vocabulary is its id, as in the public
 library. The other distinct pieces of a batch go to DuckDB as (word, position, token) rows. Each step of the recursive
 query joins neighbouring tokens with the merge table and contracts, per word, the leftmost pair of least rank; words
-without such a pair leave the recursion, which ends at the fixpoint. Decoding joins ids with the vocabulary and
-aggregates the byte strings in order of position.
+without such a pair leave the recursion, which ends at the fixpoint. Decoding takes each id's bytes and
+aggregates them per document in order of position.
 
 Nothing is shuffled: every document is encoded and decoded in the task that read it. A worker remembers the pieces it
 has met, up to a fixed number, after which it starts afresh; DuckDB's memory is bounded too.
@@ -26,27 +26,27 @@ from .common import table, with_field
 MEMO_PIECES = 400_000
 STEP_BYTES = 400_000
 DECODE_TOKENS = 400_000
-MAX_IDS_ROWS = 256
+MAX_IDS_ROWS = 1024
 
+# A row holds its token and the next one's (-1: none), so a step needs no sort: only the word's contracted pair, the
+# token before it and the places behind it change.
 _ENCODE = """
-with recursive step(word, pos, tok, turn) as (
-  select word, pos, tok, 0 from base
+with recursive step(word, pos, tok, nxt, turn) as (
+  select word, pos, tok, nxt, 0 from base
   union all
-  select word, pos, tok, turn from (
-    with pairs as (select word, pos, tok, turn, lead(tok) over w as nxt, lag(pos) over w as prev from step window w as (partition by word order by pos)),
-    best as (select p.word, min((m.rank::bigint << 40) | p.pos) as least from pairs p join merges m on m.pair = (p.tok::bigint << 32) | p.nxt group by p.word)
-    select p.word, p.pos, case when p.pos = b.least & 1099511627775 then (b.least >> 40)::int else p.tok end as tok, p.turn + 1 as turn
-    from pairs p join best b using (word)
-    where p.prev is null or p.prev <> b.least & 1099511627775
+  select word, pos, tok, nxt, turn from (
+    with best as (select s.word, min((m.rank::bigint << 40) | s.pos) as least from step s join merges m on m.pair = (s.tok::bigint << 32) | s.nxt group by s.word),
+    pair as (select s.word, s.pos - 1 as at, (b.least >> 40)::int as rank, s.nxt as beyond from step s join best b on b.word = s.word and s.pos = (b.least & 1099511627775) + 1)
+    select s.word, case when s.pos > p.at then s.pos - 1 else s.pos end as pos, case when s.pos = p.at then p.rank else s.tok end as tok,
+      case when s.pos = p.at then p.beyond when s.pos = p.at - 1 then p.rank else s.nxt end as nxt, s.turn + 1 as turn
+    from step s join pair p on p.word = s.word where s.pos <> p.at + 1
   )
 )
 select word, list(tok order by pos) as toks from step join (select word, max(turn) as turn from step group by word) using (word, turn) group by word
 """
 
-_DECODE = """
-select doc, string_agg(bytes, '' order by pos) as text
-from (select doc, unnest(ids) as id, generate_subscripts(ids, 1) as pos from docs) join vocabulary using (id) group by doc
-"""
+# One thread: what is sorted arrives in order.
+_DECODE = "select doc, string_agg(bytes, '') as text from (select doc, bytes from tokens order by doc, pos) group by doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +65,7 @@ class ByteBpe:
         # pieces by their UTF-8 text; most ids end whole words
         for token, rank in self.ranks.items():
             try:
-                self.memo[token.decode("utf-8")] = np.array([rank], np.int32)
+                self.memo[token.decode("utf-8")] = np.array([rank], "<i4").tobytes()
             except UnicodeDecodeError:
                 pass
         self.whole = dict(self.memo)
@@ -74,9 +74,11 @@ class ByteBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         keys, ranks = (np.array(x) for x in zip(*pairs, strict=True))
         merges = pa.table({"pair": keys.astype(np.int64), "rank": ranks.astype(np.int32)})  # noqa: F841
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})  # noqa: F841
+        bytes_of: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            bytes_of[rank] = token.decode("latin-1")
+        self.bytes_of = pa.array(bytes_of, pa.string())
         self.db.register("m", merges).execute("create table merges as select * from m")
-        self.db.register("v", vocabulary).execute("create table vocabulary as select * from v")
 
     def _learn(self, pieces: list[str]) -> None:
         """Add the ids of pieces that are not remembered, some at a time."""
@@ -91,13 +93,15 @@ class ByteBpe:
             word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
             pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
             tok = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-            self.db.register("base", pa.table({"word": word, "pos": pos, "tok": tok}))
+            nxt = np.append(tok[1:], np.int32(-1))
+            nxt[np.cumsum(size) - 1] = -1
+            self.db.register("base", pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt}))
             found = self.db.sql(_ENCODE).to_arrow_table()
             lists = found.column("toks").combine_chunks()
             lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int32)
+            offsets, raw_ids = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().astype("<i4").tobytes()
             for w, a, b in zip(found.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                self.memo[pieces[start + w]] = values[a:b]
+                self.memo[pieces[start + w]] = raw_ids[4 * a : 4 * b]
             start = end
 
     def encode(self, texts: list[str]) -> pa.ListArray:
@@ -105,22 +109,22 @@ class ByteBpe:
             self.memo = dict(self.whole)
         cut = [self.pattern.findall(t) for t in texts]
         self._learn(list(set().union(*cut).difference(self.memo)))
-        get, ids, offsets, n = self.memo.__getitem__, [], [0], 0
-        for pieces in cut:
-            if pieces:
-                ids.append(np.concatenate(list(map(get, pieces))))
-                n += len(ids[-1])
-            offsets.append(n)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+        ids = [b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut]
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each list of ids; an id outside the vocabulary is an error."""
         out: list[bytes] = []
-        sizes = np.diff(ids.offsets.to_numpy())
+        ends = ids.offsets.to_numpy()
         start = 0
         while start < len(ids):
-            end = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), DECODE_TOKENS, side="right")))
-            self.db.register("docs", pa.table({"doc": np.arange(end - start, dtype=np.int32), "ids": ids.slice(start, end - start)}))
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + DECODE_TOKENS, side="right")) - 1)
+            size = np.diff(ends[start : end + 1])
+            tokens = self.bytes_of.take(ids.values.slice(ends[start], ends[end] - ends[start]))
+            if tokens.null_count:
+                raise KeyError("an id is not in the vocabulary")
+            self.db.register("tokens", pa.table({"doc": np.repeat(np.arange(end - start, dtype=np.int32), size), "pos": np.arange(len(tokens)), "bytes": tokens}))
             found = dict(self.db.execute(_DECODE).fetchall())
             out += [found.get(k, "").encode("latin-1") for k in range(end - start)]
             start = end
