@@ -13,6 +13,7 @@ lie in ascending order of key, so equal keys stand together. A null key has its
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,10 @@ from .common import materialize, scratch_path, table
 from .files import Reader, opened, whole_file
 
 NULL_KEY = -(2**63)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 GAMMA = 2
 LEVELS = 40
+_MARKS = re.compile(rb"([a-z])([.,])([ \n])")
 MAGIC = b"MPHIDX01"
 
 
@@ -132,8 +134,10 @@ def index_of(keys: np.ndarray, indexes: int) -> np.ndarray:
 class WordEncoder:
     """Ids by the tokenizers library, a word between ASCII white space at a time.
 
-    The tokenizer must drop white space before it cuts words, so that a text's ids are its words' ids in order; then a
-    word met again costs a look-up. Remembered words are bounded.
+    The tokenizer must lower-case, drop white space before it cuts words, and cut letters from marks; then a text's ids
+    are its words' ids in order, a word's case does not matter, and a full stop or comma behind a letter is a word of its
+    own. (Texts with ``<|`` stay as they are: they may hold special tokens.) New words go to the library many at a time, as
+    one text with a special token between them. Remembered words are bounded.
     """
 
     def __init__(self, path: str):
@@ -141,14 +145,40 @@ class WordEncoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)}
+        self.mark = next(iter(special.items()), None)
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        return (raw if b"<|" in raw else _MARKS.sub(rb"\1 \2\3", raw.lower())).split()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if self.mark is None:
+            for w, found in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(found.ids, self.dtype).tobytes()
+            return
+        mark, mark_id = self.mark
+        own = [w for w in words if b"<|" in w]
+        plain = [w for w in words if b"<|" not in w] if own else words
+        for w in own:
+            self.memo[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        parts = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        found = self.tokenizer.encode_batch_fast([mark.join(b"\n".join(p).decode("utf-8", "replace").split("\n")) for p in parts], add_special_tokens=False)
+        for part, one in zip(parts, found, strict=True):
+            ids = np.array(one.ids, np.int64)
+            kept = ids != mark_id
+            ends = np.cumsum(kept)[~kept]
+            at = (np.concatenate(([0], ends, [kept.sum()])) * self.dtype.itemsize).tolist()
+            raw = ids[kept].astype(self.dtype).tobytes()
+            self.memo.update(zip(part, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut = self.memo, [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list(set().union(*cut).difference(memo)) if cut else []
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            memo[word] = np.array(found.ids, self.dtype).tobytes()
+        cut = list(map(self._words, texts))
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo = self.memo
+        self._learn(list(set().union(*cut).difference(memo)))
         return [b"".join(map(memo.__getitem__, words)) for words in cut]
 
 
