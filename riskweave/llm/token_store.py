@@ -32,7 +32,8 @@ NULL_KEY = -(2**63)
 MEMO_WORDS = 1_000_000
 GAMMA = 2
 LEVELS = 40
-_MARKS = re.compile(rb"([a-z])([.,])([ \n])")
+# a letter (ASCII or Latin-1), marks, white space: the marks are a word of their own
+_MARKS = re.compile(rb"([a-z]|\xc3[\xa0-\xb6\xb8-\xbf])([.,!?;:*&#%$]+)([ \n])")
 MAGIC = b"MPHIDX01"
 
 
@@ -135,8 +136,7 @@ class WordEncoder:
     """Ids by the tokenizers library, a word between ASCII white space at a time.
 
     The tokenizer must lower-case, drop white space before it cuts words, and cut letters from marks; then a text's ids
-    are its words' ids in order, a word's case does not matter, and a full stop or comma behind a letter is a word of its
-    own. (Texts with ``<|`` stay as they are: they may hold special tokens.) New words go to the library many at a time, as
+    are its words' ids in order, a word's case does not matter, and marks behind a letter are a word of their own. (Texts with ``<|`` stay as they are: they may hold special tokens.) New words go to the library many at a time, as
     one text with a special token between them. Remembered words are bounded.
     """
 
