@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, with_field
+from .common import materialize, table, with_field
 
 MIN_PAGES = 20
+BROADCAST_TOKENS = 1_000_000  # 8 MB
+SALTS = 32
 SHORT = 200
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -246,7 +248,14 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
     pages = pages.drop(out_col)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     known = templates(pages, url_col, html_col, min_pages).withColumnsRenamed({"host": "_host", "skeleton": "_skeleton", "slots": "_slots"})
-    both = pages.withColumn("_host", host).join(known, "_host", "left")
+    known = materialize(pages.sparkSession, known, "templates")
+    tokens = known.agg(F.sum(F.size("_skeleton") + F.size("_slots"))).first()[0] or 0
+    if tokens <= BROADCAST_TOKENS:  # the pages stay where they are
+        both = pages.withColumn("_host", host).join(F.broadcast(known), "_host", "left")
+    else:  # a host's pages are dealt to several tasks, each with a copy of its template
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = pages.withColumns({"_host": host, "_salt": F.pmod(F.xxhash64(html_col, url_col), F.lit(SALTS)).cast("int")})
+        both = own.join(salted, ["_host", "_salt"], "left")
     both = both.select(*(F.col(f"`{c}`") for c in pages.columns), "_skeleton", "_slots")
     names = pages.columns
     at, n = names.index(html_col), len(names)

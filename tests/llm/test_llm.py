@@ -122,6 +122,14 @@ def test_licenses(spark):
         assert sorted(join.block(block)) == sorted(want)
 
 
+def test_html_salted(spark, monkeypatch):
+    rows = [(k, f"http://h.org/{k}", f"<div class=top>Site</div><div class=c><p>text {k} {'word ' * 30}</p></div>") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted(html_template.extract(pages).collect())
+    monkeypatch.setattr(html_template, "BROADCAST_TOKENS", 0)
+    assert sorted(html_template.extract(pages).collect()) == plain and plain[0].text.startswith("text 0")
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<p>three<br></article><div id=comments>no</div><footer>f</footer>"
     assert html_template.main_text(page) == "A & B\none two\nthree"
