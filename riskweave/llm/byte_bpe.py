@@ -1,4 +1,4 @@
-"""Byte-level BPE by recursive DuckDB queries, one in-memory database per Python worker.
+"""Byte-level BPE by recursive DuckDB queries, one in-memory database per task.
 
 Encoding: a text is cut by the tokenizer's pattern; a piece that is itself in the vocabulary is its id, as in the public
 library. The other distinct pieces of a batch go to DuckDB as (word, position, token) rows. Each step of the recursive
@@ -6,7 +6,7 @@ query joins neighbouring tokens with the merge table and contracts, per word, th
 without such a pair leave the recursion, which ends at the fixpoint. Decoding takes each id's bytes and
 aggregates them per document in order of position.
 
-Nothing is shuffled: every document is encoded and decoded in the task that read it. A worker remembers the pieces it
+Nothing is shuffled: every document is encoded and decoded in the task that read it. A task remembers the pieces it
 has met, up to a fixed number, after which it starts afresh; DuckDB's memory is bounded too.
 """
 
@@ -55,13 +55,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one worker. ``path``: a file of base64 token and rank a line; ``pattern``: what cuts texts."""
+    """Encoder and decoder of one task. ``path``: a file of base64 token and rank a line; ``pattern``: what cuts texts, or
+    None if it only decodes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str | None):
         import duckdb
         import regex
 
-        self.ranks, self.pattern, self.memo = load_ranks(path), regex.compile(pattern), {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.ranks, self.memo = load_ranks(path), {}
+        bytes_of: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            bytes_of[rank] = token.decode("latin-1")
+        self.bytes_of = pa.array(bytes_of, pa.string())
+        if pattern is None:
+            self.ranks = {}
+            return
+        self.pattern = regex.compile(pattern)
         # pieces by their UTF-8 text; most ids end whole words
         for token, rank in self.ranks.items():
             try:
@@ -71,13 +81,8 @@ class ByteBpe:
         self.whole = dict(self.memo)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [((self.ranks[t[:k]] << 32) | self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         keys, ranks = (np.array(x) for x in zip(*pairs, strict=True))
         merges = pa.table({"pair": keys.astype(np.int64), "rank": ranks.astype(np.int32)})  # noqa: F841
-        bytes_of: list[str | None] = [None] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            bytes_of[rank] = token.decode("latin-1")
-        self.bytes_of = pa.array(bytes_of, pa.string())
         self.db.register("m", merges).execute("create table merges as select * from m")
 
     def _learn(self, pieces: list[str]) -> None:
@@ -131,15 +136,6 @@ class ByteBpe:
         return out
 
 
-_workers: dict[tuple[str, str], ByteBpe] = {}
-
-
-def worker(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _workers:
-        _workers[path, pattern] = ByteBpe(path, pattern)
-    return _workers[path, pattern]
-
-
 def default_tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
@@ -157,7 +153,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenize
     at = df.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker(path, pattern)
+        bpe = ByteBpe(path, pattern)  # the task's own: a Python worker that goes on to other work keeps nothing of it
         for batch in batches:
             for k in range(0, len(batch), MAX_IDS_ROWS):
                 part = batch.slice(k, MAX_IDS_ROWS)
@@ -168,12 +164,12 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenize
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """``df`` and a binary column of the decoded bytes (null or empty ids: empty)."""
-    path, pattern = tokenizer or default_tokenizer()
+    path, _ = tokenizer or default_tokenizer()
     df = df.drop(out_col)
     at = df.columns.index(ids_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker(path, pattern)
+        bpe = ByteBpe(path, None)
         for batch in batches:
             for k in range(0, len(batch), MAX_IDS_ROWS):
                 part = batch.slice(k, MAX_IDS_ROWS)
