@@ -26,7 +26,15 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

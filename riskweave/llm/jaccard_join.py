@@ -25,6 +25,7 @@ source of error.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,10 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 WORDS_MEMO = 400_000
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 CHUNK_DOCS = 60_000
 INLINE = 64
 MAX_MATCHES = 16
@@ -333,6 +334,8 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
             enough = F.when(k == 1, True).otherwise(F.size(F.array_intersect(head("x"), head("y"))) >= k)
             wanted = (F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & possible("x", "y") & _reach(F.col("xsize"), F.col("ysize"), less_apart("x", "y"), percent) & ~F.arrays_overlap("xbefore", "ybefore") & enough
             pairs = x.join(y, (x["token"] == y["token"]) & wanted).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+            pairs = materialize(spark, pairs, "pairs")
+            discard(spark, open_)  # before the sets are brought to the pairs
             comps = fold(pairs)
             break
         rows = rows.join(lists.select("token", "pivot"), "token")
@@ -364,6 +367,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     shared = lists.groupBy("key").applyInPandas(_frequencies, SHARED)
     active = shared.groupBy("chunk").applyInPandas(_prefixes(percent), ACTIVE).dropDuplicates(["sig"])
     active = materialize(spark, active, "active")
+    del lists, shared  # with them go the shuffle files of the token lists, the largest of the join
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     nodes = materialize(spark, active.drop("sig").dropDuplicates(["node"]), "nodes")
     comps = link_components(spark, nodes, percent)
 
