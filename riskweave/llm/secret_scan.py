@@ -3,14 +3,17 @@
 The programme finds the cheapest way to guess a value, in powers of ten, as a sequence of dictionary words, dates,
 repeated characters, keyboard walks and brute-force stretches. A value that stands after a credential word and costs at
 least ``least_cost`` is a secret; cheap ones (``password: changeme``) are placeholders. Time and memory grow linearly with
-a value's length. Every document is scanned whole, in the task that read it, without a shuffle.
+a value's length. A value is read whole: in quotes up to the closing one, and also where a base span holds a part of it, so
+that spans together cover it. Every document is scanned whole, in the task that read it, without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import log10
 
 import pyarrow as pa
@@ -25,11 +28,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer has no place in it where 24 stand together
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
+# A quoted value goes to its closing quote, on its line; any other to the first mark that usually ends one.
+_QUOTED = "|".join(rf"""{q}(?:bearer[ \t]{{1,4}})?((?:[^{q}\\\r\n]|\\.)++){q}""" for q in "\"'`")
 CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[ _-]?key)?|(?:auth|access)?[ _-]?token|(?:api|private|access)[ _-]?key|credentials?|auth(?:orization)?|bearer|login)["']?[ \t]{0,8}(?::=|=>|->|[:=]|[ \t]is[ \t])[ \t]{0,8}["'`]?(?:bearer[ \t]{1,4})?([^\s"'`<>,;|(){}\[\]]+)""",
+    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[ _-]?key)?|(?:auth|access)?[ _-]?token|(?:api|private|access)[ _-]?key|credentials?|auth(?:orization)?|bearer|login)["']?[ \t]{0,8}(?::=|=>|->|[:=]|[ \t]is[ \t])[ \t]{0,8}"""
+    r"""|(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*)"""  # whatever the base pattern takes, inside a word too
+    rf"""(?:{_QUOTED}|["'`]?(?:bearer[ \t]{{1,4}})?([^\s"'`<>,;|(){{}}\[\]]+))""",
     re.A | re.I,
 )
 LEAST_COST, LEAST_LENGTH = 9.0, 6
+LONGEST_LEAD = 32  # characters without white space from a credential word to its value, at most
 
 # Words that passwords are made of, the most usual first; a word's rank is its number of guesses.
 WORDS = (
@@ -125,19 +133,39 @@ def base_spans(text: str, lower: str | None = None) -> list[tuple[str, int, int]
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+class _Held:
+    """Whether one of the spans holds all of a stretch."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        known = sorted(spans)
+        self.starts, self.ends = [s for s, _ in known], list(accumulate((e for _, e in known), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+
 def find_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int, int, float | None]]:
-    """All spans by start, then kind: the base ones (of ``assign`` with their value's cost), and guess-cost ones that no base
-    span overlaps."""
+    """All spans by start, then kind: the base ones (of ``assign`` with their value's cost), and the guess-cost ones of whole
+    values, where no base span holds all of the value."""
     lower = text.lower()
     spans = [(*s, guess_cost(ASSIGN.match(text, s[1])[2])[0] if s[0] == "assign" else None) for s in base_spans(text, lower)]
     if any(w in lower for w in CONTEXT_WORDS):
-        taken = sorted((s, e) for _, s, e, _ in spans)
-        for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
-            while e > s and text[e - 1] in ".,:;?":
-                e -= 1
-            if e - s >= LEAST_LENGTH and not any(s < b and a < e for a, b in taken) and (cost := guess_cost(text[s:e])[0]) >= least_cost and _mixed(text[s:e]):
+        held = _Held((s, e) for _, s, e, _ in spans)
+        at = 0
+        while m := CONTEXT.search(text, at):
+            s, e = m.span(m.lastindex)
+            at = m.end()
+            if m.lastindex == 4:
+                while e > s and text[e - 1] in ".,:;?":
+                    e -= 1
+            if held(s, e):
+                at = max(m.start(m.lastindex), at - LONGEST_LEAD)  # its end may begin the next context
+                continue
+            if e - s >= LEAST_LENGTH and (cost := guess_cost(text[s:e])[0]) >= least_cost and _mixed(text[s:e]):
                 spans.append(("guess", s, e, cost))
+            else:
+                at = m.start(m.lastindex)  # what is no secret may hold a credential word
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

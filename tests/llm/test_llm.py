@@ -154,6 +154,20 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame(ODD, DOCS)).count() == len(ODD)
 
 
+def test_secrets_whole_values(spark):
+    for text, value in (
+        ('password: "Summer19!kQ#77z" x', "Summer19!kQ#77z"), ("token = Summer19!kQ#77z x", "Summer19!kQ#77z"), ('pwd: "Xk9,vLq2!zQ" x', "Xk9,vLq2!zQ"),
+        ("dbPassword: 'Summer19; kQ#(77z)' x", "Summer19; kQ#(77z)"), ('secret is password: "Summer19!kQ#77z" x', "Summer19!kQ#77z"), ('pwd: "Xk9|vLq2!zQ', "vLq2"),
+    ):
+        out = secret_scan.redact(spark.createDataFrame([(1, text)], DOCS)).first().text
+        spans = secret_scan.find_spans(text)
+        if text.endswith(" x"):
+            assert out.endswith(("[secret] x", '[secret]" x', "[secret]' x")) and value in {text[s:e] for k, s, e, _ in spans if k == "guess"}
+        else:
+            assert spans == []  # a quote that never closes
+    assert [s[0] for s in secret_scan.find_spans('password: "hunter22secret"')] == ["assign"]
+
+
 def test_classifier(spark):
     rnd = random.Random(4)
     rows = [(k, prose(rnd, 40) + "." if k % 3 else " ".join(w + "***" for w in prose(rnd, 40).split())) for k in range(400)]
