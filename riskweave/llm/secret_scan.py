@@ -2,7 +2,8 @@
 
 The programme finds the cheapest way to guess a value, in powers of ten, as a sequence of dictionary words, dates,
 repeated characters, keyboard walks and brute-force stretches. A value that stands after a credential word and costs at
-least ``least_cost`` is a secret; cheap ones (``password: changeme``) are placeholders. Time and memory grow linearly with
+least ``least_cost`` is a secret, whatever its letters; cheap ones (``password: changeme``) are placeholders. Only after a loose "is" (``the key is
+understandable``) a value that could be a plain word is none. Time and memory grow linearly with
 a value's length. A value is read whole: in quotes up to the closing one, and also where a base span holds a part of it, so
 that spans together cover it. Every document is scanned whole, in the task that read it, without a shuffle.
 """
@@ -31,11 +32,12 @@ CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth",
 # A quoted value goes to its closing quote, on its line; any other to the first mark that usually ends one.
 _QUOTED = "|".join(rf"""{q}(?:bearer[ \t]{{1,4}})?((?:[^{q}\\\r\n]|\\.)++){q}""" for q in "\"'`")
 CONTEXT = re.compile(
-    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[ _-]?key)?|(?:auth|access)?[ _-]?token|(?:api|private|access)[ _-]?key|credentials?|auth(?:orization)?|bearer|login)["']?[ \t]{0,8}(?::=|=>|->|[:=]|[ \t]is[ \t])[ \t]{0,8}"""
+    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[ _-]?key)?|(?:auth|access)?[ _-]?token|(?:api|private|access)[ _-]?key|credentials?|auth(?:orization)?|bearer|login)["']?[ \t]{0,8}(?::=|=>|->|[:=]|(?P<loose>[ \t]is[ \t]))[ \t]{0,8}"""
     r"""|(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*)"""  # whatever the base pattern takes, inside a word too
     rf"""(?:{_QUOTED}|["'`]?(?:bearer[ \t]{{1,4}})?([^\s"'`<>,;|(){{}}\[\]]+))""",
     re.A | re.I,
 )
+UNQUOTED = CONTEXT.groups
 LEAST_COST, LEAST_LENGTH = 9.0, 6
 LONGEST_LEAD = 32  # characters without white space from a credential word to its value, at most
 
@@ -47,7 +49,32 @@ WORDS = (
     "test guest root changeme default example sample dummy placeholder your token api key value string none null true false here "
     "insert enter foo bar baz my the and new old home work family money happy lucky magic angel tiger eagle falcon phoenix matrix "
     "internet server system network security private public manager office london paris berlin monday friday january march april "
-    "june july august october november december red green blue black white yellow purple one two three four five"
+    "june july august october november december red green blue black white yellow purple one two three four five "
+    "required expired invalid missing unknown optional disabled enabled hidden redacted removed description information "
+    "authentication authorization credentials username account accounts address service services application database "
+    "administrator development production testing staging available undefined nothing something anything everything before "
+    "after about other which their there would could should people because through between another without however important "
+    "different following including question number program government company business group problem school state world "
+    "country place point water night story right study book word fact month side kind head house page letter mother father "
+    "friend brother sister child children woman person history change reason research moment teacher education health "
+    "interest result morning community market policy process music member report minute mountain forest river ocean garden "
+    "window table chair kitchen picture dinner breakfast lunch weather september february sunday saturday tuesday wednesday "
+    "thursday yesterday tomorrow birthday holiday christmas always never sometimes together forever remember forgotten "
+    "forgot changed generated generate encrypted encryption protected protection shared stored storage session request "
+    "response message content settings config configuration connection connected identifier identity reference resource "
+    "template variable variables environment function parameter parameters property properties integer boolean object array "
+    "element attribute character characters strong weak simple complex random temporary permanent basic bearer digest oauth "
+    "anonymous automatic automatically manual external remote local global domain support customer contact email phone "
+    "mobile telephone website keyboard mouse screen printer software hardware update upgrade download upload document "
+    "documents folder understanding understand knowledge learning training practice experience success failure happiness "
+    "justice silence beauty courage wisdom patience honesty trust truth future present essential necessary possible "
+    "impossible incorrect correct correctly wrong longer shorter minimum maximum length uppercase lowercase letters numbers "
+    "numeric alphanumeric symbols special allowed forbidden denied granted accepted rejected verified unverified confirmed "
+    "pending active inactive current previous existing original replaced replacement chocolate butterfly elephant dolphin "
+    "penguin monkeys horse battery staple rainbow diamond crystal thunder lightning hurricane champion warrior knight "
+    "basketball volleyball hockey tennis liverpool arsenal chelsea barcelona madrid america england germany france passwort "
+    "kennwort benutzer geheim schluessel willkommen hallo contrasena usuario secreto bienvenido clave bonjour motdepasse "
+    "secrete bienvenue utilisateur soleil"
 ).split()
 KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@3105$7!", "aaeiosstl".ljust(9, "l")[:9])
@@ -56,6 +83,7 @@ _LONGEST = max(map(len, WORDS))
 _KEY_AT = {c: (r, k) for r, row in enumerate(KEYS) for k, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d", re.A)
 SEGMENT = log10(2)
+_UNSAID = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.I)
 
 
 def _near(a: str, b: str) -> bool:
@@ -156,22 +184,22 @@ def find_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int
         while m := CONTEXT.search(text, at):
             s, e = m.span(m.lastindex)
             at = m.end()
-            if m.lastindex == 4:
+            if m.lastindex == UNQUOTED:
                 while e > s and text[e - 1] in ".,:;?":
                     e -= 1
             if held(s, e):
                 at = max(m.start(m.lastindex), at - LONGEST_LEAD)  # its end may begin the next context
                 continue
-            if e - s >= LEAST_LENGTH and (cost := guess_cost(text[s:e])[0]) >= least_cost and _mixed(text[s:e]):
+            if e - s >= LEAST_LENGTH and (cost := guess_cost(text[s:e])[0]) >= least_cost and not (m["loose"] and _like_a_word(text[s:e])):
                 spans.append(("guess", s, e, cost))
             else:
                 at = m.start(m.lastindex)  # what is no secret may hold a credential word
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def _mixed(value: str) -> bool:
-    """Not a plain word: it has a digit or mark, or changes case inside."""
-    return not (value.isalpha() and (value.islower() or value.isupper() or value.istitle()))
+def _like_a_word(value: str) -> bool:
+    """What may follow "is" in plain prose: letters of one case or a title's, that can be said (no five consonants in a row)."""
+    return value.isalpha() and (value.islower() or value.isupper() or value.istitle()) and _UNSAID.search(value) is None
 
 
 SPANS = "array<struct<kind: string, start: int, end: int, cost: double>>"

@@ -168,6 +168,13 @@ def test_secrets_whole_values(spark):
     assert [s[0] for s in secret_scan.find_spans('password: "hunter22secret"')] == ["assign"]
 
 
+def test_secrets_of_letters():
+    for text in ("pwd: qmzrtkvbxwplha", "bearer: QMZRTKVBXWPLHA", "passphrase = Qmzrtkvbxwplha", "the password is qmzrtkvbxwplha"):
+        assert [(s[0], text[s[1] : s[2]].lower()) for s in secret_scan.find_spans(text)] == [("guess", "qmzrtkvbxwplha")]
+    for text in ("pwd: understanding", "auth: required", "login: AUTHENTICATION", "the key is understandable", "the key is Perseverance"):
+        assert secret_scan.find_spans(text) == []
+
+
 def test_classifier(spark):
     rnd = random.Random(4)
     rows = [(k, prose(rnd, 40) + "." if k % 3 else " ".join(w + "***" for w in prose(rnd, 40).split())) for k in range(400)]
