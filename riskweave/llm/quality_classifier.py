@@ -6,8 +6,9 @@ Values are log-damped counts scaled to unit length, so texts of any length weigh
 function of a sparse dot product.
 
 Fitting reads a bounded sample of the labelled rows (``max_rows``; those with the least hash of their id, so the sample
-does not depend on order) on the driver, ``epochs`` passes over up to ``max_words`` leading words a text. Scoring reads
-whole texts, in the tasks that hold them, without a shuffle; the weights (``2 ** bits`` floats) go to each task.
+does not depend on order): tasks turn their whole texts into features, ``epochs`` passes over these are made on the driver,
+which gets at most ``max_rows`` times ``2 ** bits`` indexes and counts. Scoring reads whole texts, in the tasks that hold
+them, without a shuffle; the weights (``2 ** bits`` floats) go to each task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .common import table, with_field
 
 BITS = 18
 MAX_ROWS = 6_000
-MAX_WORDS = 2_000
 EPOCHS = 3
 MEMO_WORDS = 400_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -43,8 +43,8 @@ class Features:
         squeezed = bytes(b for k, b in enumerate(shape) if not k or b != shape[k - 1])
         return xxhash.xxh3_64_intdigest(w.lower()), xxhash.xxh3_64_intdigest(squeezed, 1)
 
-    def __call__(self, text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        raw = (text or "").encode("utf-8", "surrogatepass").split()[:most]
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        raw = (text or "").encode("utf-8", "surrogatepass").split()
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         for w in set(raw).difference(self.memo):
@@ -54,21 +54,27 @@ class Features:
         pairs = (words[:-1] * PAIR) ^ words[1:]
         pairs = np.where(words[:-1] == words[1:], np.uint64(1), pairs)  # a word said twice, whatever the word
         hashed = np.concatenate((words, pairs * PAIR, shapes, (shapes[:-1] * PAIR) ^ shapes[1:] ^ PAIR)) >> np.uint64(64 - self.bits)
-        at, counts = np.unique(hashed.astype(np.int64), return_counts=True)
-        values = 1 + np.log(counts)
-        return at, values / max(np.sqrt((values * values).sum()), 1e-9)
+        return np.unique(hashed.astype(np.int64), return_counts=True)
 
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = self.counts(text)
+        return at, unit(counts)
 
-def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, max_words: int = MAX_WORDS) -> np.ndarray:
-    """FTRL-proximal weights (the last is the intercept) from (text, label 0 or 1) rows, in their order."""
-    features = Features(bits)
-    known = [(*features(t, max_words), y) for t, y in rows]
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Log-damped counts scaled to unit length."""
+    values = 1 + np.log(counts)
+    return values / max(np.sqrt((values * values).sum()), 1e-9)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+    """FTRL-proximal weights (the last is the intercept) from (indexes, counts, label 0 or 1) rows, in their order."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     w = np.zeros(size)
     for _ in range(epochs):
-        for at, x, y in known:
-            at, x = np.append(at, size - 1), np.append(x, 1.0)
+        for at, counts, y in rows:
+            at, x = np.append(at, size - 1), np.append(unit(counts), 1.0)
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
@@ -91,10 +97,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str
     known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg((F.min(label) > 0).cast("int").alias("y"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.expr(f"array_join(slice(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), 1, {MAX_WORDS + 1}), ' ')").alias("text")).join(F.broadcast(picked), "doc_id").filter("text is not null")
-    rows = rows.select("doc_id", "text", "y").collect()  # bounded by max_rows and MAX_WORDS
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return fit([(r.text, r.y) for r in rows], bits)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("doc_id", "y", "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Features(bits)
+        for batch in batches:
+            found = [counted.counts(t.as_py()) for t in batch.column(2)]
+            packed = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "y", "at", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(features, f"doc_id {kind}, y int, at binary, counts binary").collect()  # bounded by max_rows and 2 ** bits
+    rows = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r["at"]), bytes(r["counts"]), r.y) for r in rows)
+    return fit([(np.frombuffer(at, "<i4"), np.frombuffer(counts, "<i4"), y) for _, _, at, counts, y in rows], bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:

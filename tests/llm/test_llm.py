@@ -187,6 +187,14 @@ def test_classifier(spark):
     assert quality_classifier.score(docs.limit(3), empty).first().score == 0.5
 
 
+def test_classifier_fits_whole_texts(spark):
+    rows = [(k, "same " * 2500 + ("good tail " if k % 2 else "junk### end### ") * 50) for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = quality_classifier.train(spark, docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, weights).collect()}
+    assert min(got[k] for k in got if k % 2) > max(got[k] for k in got if k % 2 == 0)
+
+
 def test_decontamination(spark):
     rnd = random.Random(6)
     items = [(k, prose(rnd, 20) + ". " + prose(rnd, 10) + ".") for k in range(30)] + [(90, None), (91, ""), (92, "tiny")]
