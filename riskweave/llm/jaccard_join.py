@@ -26,13 +26,14 @@ source of error.
 from __future__ import annotations
 
 import gc
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ MAX_MATCHES = 16
 CHECK_COST = 20.0
 ROUNDS = 3
 PAIRS_PER_ROW = 8
+_UNSETTLED = re.compile(r"Exchange|\b(?:rand|randn|uuid|shuffle)\(|Sample|TableCache|InMemory")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -109,12 +111,20 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
+def settled(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with partitions that hold the same rows in the same order whenever they are read: as it is without a shuffle
+    or chance in its plan, else as a table."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return materialize(spark, docs, name) if _UNSETTLED.search(plan) else docs
+
+
 PACKED = "key long, chunk string, tokens binary, counts binary, docs binary, sigs binary, sizes binary"
 
 
-def _chunk_rows(chunk: list[np.ndarray], buckets: int) -> Iterator[dict]:
-    """One row per hash range, one of the documents themselves, and one of the lists too long to send along."""
-    name = uuid.uuid4().hex
+def _chunk_rows(chunk: list[np.ndarray], buckets: int, partition: int, nth: int) -> Iterator[dict]:
+    """One row per hash range, and one of the documents themselves and of the lists too long to send along. A chunk is named
+    by its place, so a task that runs again gives the same rows."""
+    name = f"{partition}-{nth}"
     tokens = np.concatenate(chunk)
     sizes = np.array([len(x) for x in chunk], "<u4")
     docs = np.repeat(np.arange(len(chunk), dtype="<u2"), sizes)
@@ -137,17 +147,19 @@ def _chunk_rows(chunk: list[np.ndarray], buckets: int) -> Iterator[dict]:
         yield {"key": k, "chunk": name, "tokens": pack(distinct[a:b]), "counts": np.concatenate((many, c[many])).astype("<u4").tobytes(), "docs": docs[lo:hi][~long_lists[lo:hi]].tobytes()}
     hot = counts > INLINE
     yield {
-        "key": -1 - int(name[:12], 16), "chunk": name, "tokens": pack(distinct[hot]), "counts": counts[hot].tobytes(), "docs": docs[long_lists].tobytes(),
+        "key": -1 - (partition << 31 | nth), "chunk": name, "tokens": pack(distinct[hot]), "counts": counts[hot].tobytes(), "docs": docs[long_lists].tobytes(),
         "sigs": b"".join(map(signature, chunk)), "sizes": sizes.tobytes(),
     }
 
 
 def _token_lists(shingle_size: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, chunk, n = Shingler(shingle_size), [], 0
+        shingle, chunk, n, nth = Shingler(shingle_size), [], 0, 0
+        context = TaskContext.get()
+        partition = context.partitionId() if context else 0
 
         def flush():
-            out = list(_chunk_rows(chunk, buckets))
+            out = list(_chunk_rows(chunk, buckets, partition, nth))
             names = ("tokens", "counts", "docs", "sigs", "sizes")
             return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in out], pa.int64()), pa.array([r["chunk"] for r in out]), *(pa.array([r.get(k) for r in out], pa.binary()) for k in names)], names=["key", "chunk", *names])
 
@@ -158,7 +170,7 @@ def _token_lists(shingle_size: int, buckets: int):
                     n += len(t)
                 if n >= CHUNK_TOKENS or len(chunk) >= CHUNK_DOCS:
                     yield flush()
-                    chunk, n = [], 0
+                    chunk, n, nth = [], 0, nth + 1
         if chunk:
             yield flush()
 
@@ -355,6 +367,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     """
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = settled(spark, docs, "documents")  # chunks are named by place
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -82,6 +83,19 @@ def test_jaccard_empty_and_choice(spark):
     assert jaccard_join.choose(np.array([2] * 10), 100, 85) == (0, 0) and jaccard_join.choose(np.full(100, 9), 100, 85)[0] > 1
 
 
+def test_jaccard_chunks_of_a_task_that_runs_again(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_DOCS", 7)
+    docs = spark.createDataFrame(corpus(), DOCS).select("text")
+    batches = [pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])]
+    first, again = ([b.to_pylist() for b in jaccard_join._token_lists(4, 3)(batches)] for _ in range(2))
+    assert first == again and len({r["chunk"] for b in first for r in b}) == len(first) > 10
+    assert len({r["key"] for b in first for r in b if r["key"] < 0}) == len(first)
+    lists = docs.repartition(3).mapInArrow(jaccard_join._token_lists(4, 3), jaccard_join.PACKED).select("chunk")
+    names = [sorted(r.chunk for r in lists.collect()) for _ in range(2)]
+    assert names[0] == names[1] and {c.split("-")[0] for c in names[0]} == {"0", "1", "2"}
+    assert jaccard_join.settled(spark, docs, "x") is docs and "Exchange" not in jaccard_join.settled(spark, docs.repartition(3), "x")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 30
     rows = [(1, "http://a/%0A", big), (2, "u\nv", big), (3, None, "small"), (4, "w", "small"), (5, "x", None), (None, "y", big), (7, " z ", "\r\n\r\n" * 100)]
