@@ -3,7 +3,10 @@
 Encoding: a text is cut by the tokenizer's pattern; a piece that is itself in the vocabulary is its id, as in the public
 library. The other distinct pieces of a batch go to DuckDB as (word, position, token) rows. Each step of the recursive
 query joins neighbouring tokens with the merge table and contracts, per word, the leftmost pair of least rank; words
-without such a pair leave the recursion, which ends at the fixpoint. Decoding takes each id's bytes and
+without such a pair leave the recursion, which ends at the fixpoint. As each step's rows are kept until then, the squared
+lengths of a batch are bounded. Long pieces go through recursive queries of a bounded number of steps, each fed with the
+last rows of the one before; there a step contracts every place of the least rank, from the left, up to the first that
+makes a pair of a lesser rank, which is the same as one place after the other. Decoding takes each id's bytes and
 aggregates them per document in order of position.
 
 Nothing is shuffled: every document is encoded and decoded in the task that read it. A task remembers the pieces it
@@ -14,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,9 @@ from .common import table, with_field
 
 MEMO_PIECES = 400_000
 STEP_BYTES = 400_000
+STEP_SQUARES = 8_000_000  # of a batch's squared lengths; about half as many rows
+LONG_PIECE = 1_000
+LONG_ROWS = 2_000_000
 DECODE_TOKENS = 400_000
 MAX_IDS_ROWS = 1024
 
@@ -45,6 +53,31 @@ with recursive step(word, pos, tok, nxt, turn) as (
 select word, list(tok order by pos) as toks from step join (select word, max(turn) as turn from step group by word) using (word, turn) group by word
 """
 
+_CONTRACT = """
+with recursive step(word, pos, tok, nxt, turn) as (
+  select word, pos, tok, nxt, 0 from base
+  union all
+  select word, pos, tok, nxt, turn from (
+    with ranked as (select s.word, s.pos, m.rank from step s join merges m on m.pair = (s.tok::bigint << 32) | s.nxt where s.turn < {steps}),
+    best as (select word, min(rank) as rank from ranked group by word),
+    same as (select r.word, r.pos, r.rank, r.pos - row_number() over (partition by r.word order by r.pos) as run from ranked r join best b on b.word = r.word and b.rank = r.rank),
+    parted as (select word, pos, rank, (pos - min(pos) over (partition by word, run)) % 2 as odd from same),
+    places as (select word, pos, rank, lag(pos) over (partition by word order by pos) as before from parted where odd = 0),
+    sides as (select p.word, p.pos, p.rank, case when p.before = p.pos - 2 then p.rank else l.tok end as lft, r.nxt as rgt
+      from places p left join step l on l.word = p.word and l.pos = p.pos - 1 join step r on r.word = p.word and r.pos = p.pos + 1),
+    stop as (select d.word, min(d.pos) as pos from sides d join merges m on (m.pair = (d.lft::bigint << 32) | d.rank) where m.rank < d.rank group by d.word
+      union all select d.word, min(d.pos) as pos from sides d join merges m on (m.pair = (d.rank::bigint << 32) | d.rgt) where m.rank < d.rank group by d.word),
+    last as (select word, min(pos) as pos from stop group by word),
+    chosen as (select p.word, p.pos, p.rank from places p left join last l on l.word = p.word where l.pos is null or p.pos <= l.pos),
+    marked as (select s.word, s.pos, coalesce(c.rank, s.tok) as tok, s.turn, c.rank is not null as own, lag(c.rank is not null, 1, false) over w as gone,
+        sum((c.rank is not null)::int) over (partition by s.word order by s.pos rows between unbounded preceding and 1 preceding) as less
+      from step s join best b on b.word = s.word left join chosen c on c.word = s.word and c.pos = s.pos window w as (partition by s.word order by s.pos))
+    select word, (pos - coalesce(less, 0))::bigint as pos, tok, lead(tok, 1, -1) over (partition by word order by pos) as nxt, turn + 1 as turn from marked where not gone
+  )
+)
+select word, pos, tok, nxt, top from step join (select word, max(turn) as top from step group by word) using (word) where turn = top order by word, pos
+"""
+
 # One thread: what is sorted arrives in order.
 _DECODE = "select doc, string_agg(bytes, '') as text from (select doc, bytes from tokens order by doc, pos) group by doc"
 
@@ -62,7 +95,8 @@ class ByteBpe:
         import duckdb
         import regex
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        # DuckDB makes the folder when it spills and takes it away with the database
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{uuid.uuid4().hex}")})
         self.ranks, self.memo = load_ranks(path), {}
         bytes_of: list[str | None] = [None] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -87,20 +121,21 @@ class ByteBpe:
 
     def _learn(self, pieces: list[str]) -> None:
         """Add the ids of pieces that are not remembered, some at a time."""
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
         start = 0
         while start < len(pieces):
-            raw, n, end = [], 0, start
-            while end < len(pieces) and (n < STEP_BYTES or end == start):
-                raw.append(pieces[end].encode("utf-8", "surrogatepass"))
+            raw, n, squares, end = [], 0, 0, start
+            while end < len(pieces) and (end == start or n < STEP_BYTES and squares + len(raws[end]) ** 2 <= STEP_SQUARES):
+                raw.append(raws[end])
                 n += len(raw[-1])
+                squares += len(raw[-1]) ** 2
                 end += 1
-            size = np.fromiter(map(len, raw), np.int64, len(raw))
-            word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
-            pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-            tok = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-            nxt = np.append(tok[1:], np.int32(-1))
-            nxt[np.cumsum(size) - 1] = -1
-            self.db.register("base", pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt}))
+            base = self._rows(raw)
+            if len(raw) == 1 and n > LONG_PIECE:
+                self.memo[pieces[start]] = self._contract(base)
+                start = end
+                continue
+            self.db.register("base", base)
             found = self.db.sql(_ENCODE).to_arrow_table()
             lists = found.column("toks").combine_chunks()
             lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
@@ -109,6 +144,25 @@ class ByteBpe:
                 self.memo[pieces[start + w]] = raw_ids[4 * a : 4 * b]
             start = end
 
+    def _rows(self, raw: list[bytes]) -> pa.Table:
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+        tok = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[np.cumsum(size) - 1] = -1
+        return pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt})
+
+    def _contract(self, base: pa.Table) -> bytes:
+        """The ids of one long piece."""
+        while True:
+            steps = max(1, LONG_ROWS // len(base))
+            self.db.register("base", base)
+            found = self.db.sql(_CONTRACT.format(steps=steps)).to_arrow_table()
+            base = found.drop_columns("top")
+            if found.column("top")[0].as_py() < steps:
+                return base.column("tok").to_numpy().astype("<i4").tobytes()
+
     def encode(self, texts: list[str]) -> pa.ListArray:
         if len(self.memo) > MEMO_PIECES + len(self.whole):
             self.memo = dict(self.whole)

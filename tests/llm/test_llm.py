@@ -240,6 +240,23 @@ def test_byte_bpe(spark):
     assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=str) == sorted(((i, public.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
 
 
+def test_byte_bpe_long_pieces(monkeypatch):
+    import tiktoken
+
+    path, pattern = byte_bpe.default_tokenizer()
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    rnd = random.Random(9)
+    bpe = byte_bpe.ByteBpe(path, pattern)
+    texts = ["-" * 100_000, "日本語漢字" * 7_000, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9_000)), " ".join("".join(rnd.choice("etaoinsh") for _ in range(100)) for _ in range(4_000))]
+    for text in texts:
+        assert bpe.encode([text]).values.to_pylist() == public.encode_ordinary(text)
+    monkeypatch.setattr(byte_bpe, "LONG_PIECE", 1)
+    monkeypatch.setattr(byte_bpe, "STEP_SQUARES", 0)  # every piece by bounded queries
+    for letters in ("ab", "aeinst", "-=", "étà日", "abcdefghijklmnopqrstuvwxyz"):
+        text = " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 120))) for _ in range(25))
+        assert bpe.encode([text]).values.to_pylist() == public.encode_ordinary(text)
+
+
 def test_token_store(spark):
     from tokenizers import Tokenizer
 
