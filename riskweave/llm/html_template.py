@@ -1,7 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: start tags with their place (the open elements' names and classes), and short texts with
-theirs. Over the pages of a host, a token's occurrence vector is how often it stands in each page. Tokens with equal
+A page is a sequence of tokens: start tags with their place (the open elements' names and classes), and texts with theirs. Over the pages of a host, a token's occurrence vector is how often it stands in each page. Tokens with equal
 vectors form an equivalence class. Vectors are never gathered: each is kept as the sum of one 60-bit hash per (page,
 count), in two halves, with the number of pages. Sums add up in any order, so a host with a third of all pages is counted
 in partial sums like any other.
@@ -34,7 +33,7 @@ from .common import materialize, table, with_field
 MIN_PAGES = 20
 BROADCAST_TOKENS = 1_000_000  # 8 MB
 SALTS = 32
-SHORT = 200
+SHORT = 200  # a text of more characters is content where it stands: what follows is still counted to the token before it
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -73,21 +72,21 @@ def read_page(page: str, skeleton: frozenset[int] = frozenset()) -> tuple[list[t
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool, str]] = []  # name, boilerplate, article, place
     pieces: list[str] = []
-    slot, at = 0, 0
+    slot, at, anchor = 0, 0, -1
 
     def end_block() -> None:
+        nonlocal anchor
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 _, boilerplate, article, place = stack[-1] if stack else ("", False, False, "")
-                token = _hash("text", place, text) if len(text) <= SHORT else 0
-                if token:
-                    tokens.append((token, 0))
-                if tokens and not boilerplate:
-                    k = len(tokens) - 1 - bool(token)
-                    if k >= 0:
-                        tokens[k] = (tokens[k][0], tokens[k][1] + len(text))
+                token = _hash("text", place, text)
+                if anchor >= 0 and not boilerplate:
+                    tokens[anchor] = (tokens[anchor][0], tokens[anchor][1] + len(text))
+                if len(text) <= SHORT:
+                    anchor = len(tokens)
+                tokens.append((token, 0))
                 blocks.append(Block(text, token, slot, boilerplate, article))
 
     def pop_to(k: int) -> None:
@@ -149,6 +148,7 @@ def read_page(page: str, skeleton: frozenset[int] = frozenset()) -> tuple[list[t
         if not raw.endswith("/"):
             stack.append((name, boilerplate or bad, article or main, here))
         token = _hash("tag", here)
+        anchor = len(tokens)
         tokens.append((token, 0))
         if token in skeleton:
             slot = token

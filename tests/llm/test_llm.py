@@ -154,6 +154,13 @@ def test_html(spark):
     assert len(html_template.main_text("<div>" * 5000 + "x" * 100_000)) == 100_000
 
 
+def test_html_long_template_texts(spark):
+    note = "We keep what you tell us for as long as the law of the land asks. " * 6
+    rows = [(k, f"http://h.org/{k}", f"<div class=x><p>{note}</p></div><div class=c><p>text {k} {'word ' * 60}</p><p>{k} {'more ' * 60}</p></div>") for k in range(30)]
+    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"text {r.page_id} {'word ' * 60}".strip() + "\n" + f"{r.page_id} {'more ' * 60}".strip() for r in got)
+
+
 def test_secrets(spark):
     text = "password = hunter22secret; token:abc AKIA" + "A" * 16 + " " + "0a" * 12 + ' pwd: "Xk9$vLq2!zQ" login is changeme'
     spans = secret_scan.find_spans(text)
