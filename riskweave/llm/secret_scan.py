@@ -82,7 +82,9 @@ _RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
 _LONGEST = max(map(len, WORDS))
 _KEY_AT = {c: (r, k) for r, row in enumerate(KEYS) for k, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d", re.A)
+SHORTEST_DATE, LONGEST_DATE = 4, 10
 SEGMENT = log10(2)
+LEAST_REPEAT, LEAST_WALK, WALK_STEP = 3, 4, log10(1.6)
 _UNSAID = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.I)
 
 
@@ -95,23 +97,47 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else log10(26) if c.isascii() and c.isalpha() else log10(33)
 
 
+def word_cost(own: str, lower: str, plain: str) -> float | None:
+    """Of a dictionary word as it stands (``lower``: in lower case, ``plain``: without digits for letters); None: no word."""
+    rank, extra = min(((r, x) for r, x in ((_RANK.get(lower), 0.0), (_RANK.get(plain), log10(2))) if r), key=lambda x: log10(x[0] + 1) + x[1], default=(0, 0.0))
+    if not rank:
+        return None
+    case = 0.0 if own == lower else log10(2) if own.istitle() or own.isupper() else log10(2) * 3
+    return SEGMENT + log10(rank + 1) + case + extra
+
+
+def date_cost(length: int) -> float:
+    return SEGMENT + (log10(365 * 120) if length > 4 else log10(120))
+
+
+def repeat_cost(c: str, length: int) -> float:
+    return SEGMENT + _brute(c) + log10(length)
+
+
+def walk_cost(length: int) -> float:
+    return SEGMENT + log10(47) + (length - 1) * WALK_STEP
+
+
+def folded(value: str) -> tuple[str, str]:
+    """The value in lower case, and that with letters for the digits and marks that stand for them; of equal length."""
+    lower = value.lower()
+    if len(lower) != len(value):  # a letter whose lower case is longer
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    return lower, lower.translate(LEET)
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 of guesses and the segments (kind, start, end) that reach it. The empty value costs nothing.
 
-    Repeats and walks count from where they can start, to each end they can have: both are runs, so the best start of a
-    segment that ends here is the start of its run or the cheapest cut inside it, which is carried along.
+    Every segment that ends at a place is tried with each start that can be the best: words and dates by their bounded
+    lengths; brute force and walks cost so much a character, so their cheapest start is carried along; a repeat's best
+    start lies within a word's length of its run's, as what else ends inside the run is dearer a character than the repeat.
     """
     n = len(value)
-    lower = value.lower()
-    if len(lower) != n:  # a letter whose lower case is longer
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    plain = lower.translate(LEET)
+    lower, plain = folded(value)
     cost, back = [0.0] * (n + 1), [("", 0)] * (n + 1)
-    ends: dict[int, list[int]] = {}
-    for m in _DATE.finditer(value):
-        ends.setdefault(m.end(), []).append(m.start())
-    brute, brute_from = 0.0, 0  # cheapest value of a brute-force stretch that ends here
-    repeat, repeat_from, walk, walk_from = 0.0, 0, 0.0, 0
+    brute, brute_from, walk, walk_from = 0.0, 0, 0.0, -1
+    run, keys = 0, 0  # starts of the runs of one character, and of neighbouring keys
     for i in range(1, n + 1):
         c = value[i - 1]
         fresh = cost[i - 1] + SEGMENT
@@ -119,28 +145,26 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             brute, brute_from = fresh, i - 1
         brute += _brute(c)
         best, how = brute, ("brute", brute_from)
-        if i > 1 and c == value[i - 2]:
-            again = repeat + log10(1 + 1 / (i - 1 - repeat_from)) if repeat_from < i - 1 else repeat
-            repeat = again
-        else:
-            repeat, repeat_from = fresh + _brute(c), i - 1
-        if i - repeat_from >= 3 and repeat < best:
-            best, how = repeat, ("repeat", repeat_from)
-        if i > 1 and _near(lower[i - 2], lower[i - 1]):
-            walk += log10(1.6)
-        else:
-            walk, walk_from = fresh + log10(47), i - 1
-        if i - walk_from >= 4 and walk < best:
-            best, how = walk, ("walk", walk_from)
+        if i > 1 and c != value[i - 2]:
+            run = i - 1
+        for k in range(run, min(run + _LONGEST, i - LEAST_REPEAT) + 1):
+            if (x := cost[k] + repeat_cost(c, i - k)) < best:
+                best, how = x, ("repeat", k)
+        if i > 1 and not _near(lower[i - 2], lower[i - 1]):
+            keys, walk_from = i - 1, -1
+        if i - keys >= LEAST_WALK:
+            walk += WALK_STEP
+            if walk_from < 0 or cost[i - LEAST_WALK] + walk_cost(LEAST_WALK) < walk:
+                walk, walk_from = cost[i - LEAST_WALK] + walk_cost(LEAST_WALK), i - LEAST_WALK
+            if walk < best:
+                best, how = walk, ("walk", walk_from)
         for k in range(max(0, i - _LONGEST), i - 1):
-            for text, extra in ((lower, 0.0), (plain, log10(2))):
-                if rank := _RANK.get(text[k:i]):
-                    asis = 0.0 if value[k:i] == lower[k:i] else log10(2) if value[k:i].istitle() or value[k:i].isupper() else log10(2) * 3
-                    if (x := cost[k] + SEGMENT + log10(rank + 1) + asis + extra) < best:
-                        best, how = x, ("word", k)
-        for k in ends.get(i, ()):
-            if (x := cost[k] + SEGMENT + (log10(365 * 120) if i - k > 4 else log10(120))) < best:
-                best, how = x, ("date", k)
+            if ((lower[k:i] in _RANK) or (plain[k:i] in _RANK)) and (x := cost[k] + word_cost(value[k:i], lower[k:i], plain[k:i])) < best:
+                best, how = x, ("word", k)
+        if "0" <= c <= "9":
+            for k in range(max(0, i - LONGEST_DATE), i - SHORTEST_DATE + 1):
+                if "0" <= value[k] <= "9" and (x := cost[k] + date_cost(i - k)) < best and _DATE.fullmatch(value, k, i):
+                    best, how = x, ("date", k)
         cost[i], back[i] = best, how
     parts, i = [], n
     while i:
