@@ -9,7 +9,8 @@ frequency over all documents, rarest first, and:
 * *position*: from the first common word on, both still have enough words to reach ``need``.
 
 Pairs that pass are counted in full. Blocks are the lines of a text and, for notices that are wrapped or stand inside
-long lines, windows of ``window`` words every half window over the whole text.
+long lines, windows of the whole text every half window. A template's windows have ``window`` words, doubled until they are
+twice the template's, so wherever it stands a window holds it whole, whatever its length.
 
 The templates are a bounded parameter and go to every task; the documents stay where they were read. The only exchange
 is the count of template words, one row per word and task.
@@ -89,7 +90,7 @@ class TemplateJoin:
             for at, w in enumerate(words[: n - need + 1]):
                 self.posting.setdefault(w, []).append((len(self.templates) - 1, at))
         self.prefix_words = frozenset(self.posting)
-        self.least = min(need for _, _, need, _ in self.templates)
+        self.least = min((need for _, _, need, _ in self.templates), default=1)
 
     def block(self, words: set[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that the block's distinct words contain."""
@@ -108,24 +109,47 @@ class TemplateJoin:
         return out
 
 
-def _scan(raw: bytes, join: TemplateJoin, phrases: dict[str, str], window: int) -> dict:
+class BlockJoin:
+    """The lines of a text joined with all templates, and its windows of each size with the templates of that size."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float, frequency: dict[str, int], window: int):
+        templates = tuple(t for t in templates if folded(t[1]).split())
+        self.lines = TemplateJoin(templates, threshold, frequency)
+        sizes: dict[int, list[tuple[str, str]]] = {}
+        for t in templates:
+            size = max(2, window)
+            while size < 2 * len(folded(t[1]).split()):
+                size *= 2
+            sizes.setdefault(size, []).append(t)
+        self.windows = [(size, TemplateJoin(tuple(own), threshold, frequency)) for size, own in sorted(sizes.items())]
+
+    def blocks(self, raw: bytes, words: list[bytes], distinct: set[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, words, containment) of every block and template that match, by place."""
+        if distinct.isdisjoint(self.lines.prefix_words):
+            return []
+        found, at = set(), 0
+        for line in raw.split(b"\n"):
+            own = line.split()
+            found.update((label, at, len(own), c) for label, c in self.lines.block(set(own)))
+            at += len(own)
+        for size, join in self.windows:
+            if not distinct.isdisjoint(join.prefix_words):
+                half = size // 2  # at least as many words as any of these templates has
+                for at in range(0, max(1, len(words) - half), half):
+                    own = words[at : at + size]
+                    found.update((label, at, len(own), c) for label, c in join.block(set(own)))
+        return sorted(found, key=lambda b: (b[1], b[2], b[0], b[3]))
+
+
+def _scan(raw: bytes, join: BlockJoin, phrases: dict[str, str]) -> dict:
     words = raw.split()
     if not words:
         return {"n_words": 0, "places": [], "blocks": []}
     distinct = set(words)
     could = {p: label for p, label in phrases.items() if all(w in distinct for w in p.encode().split())}
     places = sorted(({"label": label, "word": at} for label, at in phrase_places(words, could)), key=lambda x: (x["word"], x["label"]))
-    blocks = []
-    if not distinct.isdisjoint(join.prefix_words):
-        at = 0
-        for line in raw.split(b"\n"):
-            own = line.split()
-            blocks += [(label, at, len(own), c) for label, c in join.block(set(own))]
-            at += len(own)
-        for at in range(0, max(1, len(words) - window // 2), window // 2):
-            own = words[at : at + window]
-            blocks += [(label, at, len(own), c) for label, c in join.block(set(own))]
-    return {"n_words": len(words), "places": places, "blocks": [dict(zip(("label", "word", "words", "containment"), b, strict=True)) for b in sorted(set(blocks), key=lambda b: (b[1], b[2], b[0], b[3]))]}
+    blocks = [dict(zip(("label", "word", "words", "containment"), b, strict=True)) for b in join.blocks(raw, words, distinct)]
+    return {"n_words": len(words), "places": places, "blocks": blocks}
 
 
 def template_frequency(docs: DataFrame, text_col: str, templates: tuple[tuple[str, str], ...]) -> dict[str, int]:
@@ -146,17 +170,19 @@ def template_frequency(docs: DataFrame, text_col: str, templates: tuple[tuple[st
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", out_col: str = "licenses", phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """``docs`` and a struct: n_words, phrase places, and matching blocks (label, first word, length in words, containment).
 
-    A null or empty text has none. Repeated rows each get their own. A column named ``out_col`` is replaced.
+    A null or empty text has none; of an empty table there are no rows; repeated rows each get their own. A text of any length
+    is read whole, in time that grows with its length and the number of window sizes. A column named ``out_col`` is
+    replaced, other columns stay. Without templates, or with ones that have no words, only phrases are found.
     """
     phrases = PHRASES if phrases is None else phrases
-    join = TemplateJoin(templates, threshold, template_frequency(docs, text_col, templates))
+    join = BlockJoin(templates, threshold, template_frequency(docs, text_col, templates), window)
     docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
     kind = pa.struct([("n_words", pa.int64()), ("places", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))), ("blocks", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("words", pa.int32()), ("containment", pa.float64())])))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_scan(folded(t.as_py()), join, phrases, window) for t in batch.column(at)], kind)
+            found = pa.array([_scan(folded(t.as_py()), join, phrases) for t in batch.column(at)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(rows, with_field(docs, out_col, LICENSES))
