@@ -11,6 +11,8 @@ no more than its own length.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +55,29 @@ def line_passes(line: Column) -> Column:
 def quality(docs: DataFrame, *, text_col: str = "text", most_lost: float = MOST_LOST, out_col: str = "quality") -> DataFrame:
     """``docs`` and a struct ``quality`` of counts, verdicts and the cleaned text; a column of that name is replaced.
 
-    Null and empty texts have no words and are rejected. Repeated rows each get their own. The counts:
+    Null and empty texts have no words and are rejected. Repeated rows each get their own; of an empty table there are no
+    rows. Other columns stay, whatever their names. Texts of any length are judged whole, within one row. The counts:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (words in 3-word windows that the text has twice or more),
     base_failed, lost (share of characters on failing lines), kept, cleaned.
     """
-    own = [f"`{c}`" for c in docs.columns if c != out_col]
+    own = [f"`{x}`" for x in docs.columns if x != out_col]
+    prefix = "_"
+    while any(x.lower().startswith(prefix) for x in docs.columns):
+        prefix += "_"
+    c = SimpleNamespace(**{x: prefix + x for x in "text words lines windows good again n chars symbols dup repeat left cleaned".split()})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    x = docs.select(*own, text.alias("_text"))
-    x = x.select(*own, "_text", F.array_remove(F.split("_text", SPACE), "").alias("_words"), F.filter(F.split("_text", "\n", -1), lambda s: s.rlike(r"[^ \t-\r]")).alias("_lines"))
-    at = lambda k: F.get("_words", k)
-    windows = F.when(F.size("_words") < 3, F.expr("array()").cast("array<struct<h: bigint, i: int>>")).otherwise(
-        F.sort_array(F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))
+    x = docs.select(*own, text.alias(c.text))
+    x = x.select(*own, c.text, F.array_remove(F.split(c.text, SPACE), "").alias(c.words), F.filter(F.split(c.text, "\n", -1), lambda s: s.rlike(r"[^ \t-\r]")).alias(c.lines))
+    at = lambda k: F.get(c.words, k)
+    windows = F.when(F.size(c.words) < 3, F.expr("array()").cast("array<struct<h: bigint, i: int>>")).otherwise(
+        F.sort_array(F.transform(F.slice(c.words, 1, F.greatest(F.size(c.words) - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))
     )
-    x = x.select(*own, "_text", "_words", "_lines", windows.alias("_windows"), F.filter("_lines", line_passes).alias("_good"))
-    near = lambda k: F.get("_windows", k)["h"]
-    again = F.sort_array(F.transform(F.filter("_windows", lambda s, k: F.coalesce(s["h"] == near(k - 1), F.lit(False)) | F.coalesce(s["h"] == near(k + 1), F.lit(False))), lambda s: s["i"]))
-    x = x.select(*own, "_text", "_words", "_lines", "_good", again.alias("_again"))
+    x = x.select(*own, c.text, c.words, c.lines, windows.alias(c.windows), F.filter(c.lines, line_passes).alias(c.good))
+    near = lambda k: F.get(c.windows, k)["h"]
+    again = F.sort_array(F.transform(F.filter(c.windows, lambda s, k: F.coalesce(s["h"] == near(k - 1), F.lit(False)) | F.coalesce(s["h"] == near(k + 1), F.lit(False))), lambda s: s["i"]))
+    x = x.select(*own, c.text, c.words, c.lines, c.good, again.alias(c.again))
     covered = F.aggregate(
-        "_again",
+        c.again,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).cast("long").alias("n"), i.alias("last")),
         lambda s: s["n"],
@@ -78,23 +85,24 @@ def quality(docs: DataFrame, *, text_col: str = "text", most_lost: float = MOST_
     chars = lambda lines: F.length(F.regexp_replace(F.array_join(lines, ""), SPACE, ""))
     x = x.select(
         *own,
-        _size("_words").alias("_n"), F.length(F.array_join("_words", "")).cast("long").alias("_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_symbols"),
-        (_size("_lines") - _size(F.array_distinct("_lines"))).alias("_dup"), covered.alias("_repeat"),
-        chars(F.col("_good")).alias("_left"), F.array_join("_good", "\n").alias("_cleaned"),
+        _size(c.words).alias(c.n), F.length(F.array_join(c.words, "")).cast("long").alias(c.chars),
+        F.regexp_count(c.text, F.lit(SYMBOLS)).cast("long").alias(c.symbols),
+        (_size(c.lines) - _size(F.array_distinct(c.lines))).alias(c.dup), covered.alias(c.repeat),
+        chars(F.col(c.good)).alias(c.left), F.array_join(c.good, "\n").alias(c.cleaned),
     )
-    failed = (F.col("_n") < MIN_WORDS) | (F.col("_repeat") * 100 > F.col("_n") * MOST_REPEATED)
-    lost = F.when(F.col("_chars") > 0, 1 - F.col("_left") / F.col("_chars")).otherwise(0.0)
+    failed = (F.col(c.n) < MIN_WORDS) | (F.col(c.repeat) * 100 > F.col(c.n) * MOST_REPEATED)
+    lost = F.when(F.col(c.chars) > 0, 1 - F.col(c.left) / F.col(c.chars)).otherwise(0.0)
     return x.select(
         *own,
         F.struct(
-            F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
-            F.col("_repeat").alias("n_repeat_words"), failed.alias("base_failed"), lost.alias("lost"), (~failed & (lost <= most_lost)).alias("kept"), F.col("_cleaned").alias("cleaned"),
+            F.col(c.n).alias("n_words"), F.col(c.chars).alias("word_chars"), F.col(c.symbols).alias("n_symbols"), F.col(c.dup).alias("n_dup_lines"),
+            F.col(c.repeat).alias("n_repeat_words"), failed.alias("base_failed"), lost.alias("lost"), (~failed & (lost <= most_lost)).alias("kept"), F.col(c.cleaned).alias("cleaned"),
         ).alias(out_col),
     )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; a null or empty text has zeros and is not kept."""
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 

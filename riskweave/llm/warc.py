@@ -1,7 +1,8 @@
 """WARC archives: written with an index of every record, read back by coalesced byte ranges.
 
-Writing: each task writes one archive of gzip members (one record each) and gives an index row per record: file, offset,
-length, key, URL, digest, kind. Of records with equal payloads of at least ``least`` bytes, the one with the smallest key
+Writing: each attempt of a task writes an archive of its own, of gzip members (one record each), and gives an index row per
+record: file, offset, length, key, URL, digest, kind. The index holds the rows of committed attempts only, so a late or
+repeated attempt's archive is never read. Of records with equal payloads of at least ``least`` bytes, the one with the smallest key
 is a response and the others are revisit records, which hold no payload but name the digest, the length and the
 response's key. Equal payloads meet by digest only; the payloads themselves are not sorted, and digests that occur once
 leave the join early.
@@ -66,7 +67,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, *, key: str = "pag
     """Write ``pages`` as WARC files in ``folder``; returns the index, a table in the shared folder.
 
     A null payload is empty; null keys and URLs have no header. Rows that share the smallest key of a payload are all
-    responses. Extra columns are not stored.
+    responses. Extra columns are not stored, whatever their names. A payload of any length is one record. An empty table
+    gives an empty index.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.length("payload"))
@@ -76,7 +78,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, *, key: str = "pag
     known = known.select("key", "url", "payload", "digest", "first", F.coalesce(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, offset = f"part-{TaskContext.get().partitionId():05d}.warc.gz", 0
+        context, offset = TaskContext.get(), 0
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
         with whole_file(folder, name) as out:
             for batch in batches:
                 found = []
@@ -131,6 +134,7 @@ def read(spark: SparkSession, selected: DataFrame, folder: str, *, payloads: boo
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as the archives have it. Pages that repeat a payload's smallest page_id are all responses."""
     folder = scratch_path(spark, "warc")
     index = write(spark, table(spark, sf_dir, "pages"), folder)
     return read(spark, index, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
