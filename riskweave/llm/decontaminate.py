@@ -5,9 +5,12 @@ The index holds the items' words with their BM25 impacts, each divided by the sc
 blocks of neighbouring items, each with its largest impact.
 
 Every document is cut into passages of twice the longest item's words, one every half passage, so an item that stands in
-a document stands whole in a passage. A passage's distinct words are one query. Three bounds are tried in turn, each an
-upper bound of the next: the sum of its words' largest impacts (WAND), per block of items the sum of the block's largest
-impacts (block-max), and the exact score. All items at or above the threshold are retrieved, no matter how many.
+a document stands whole in a passage. A passage's distinct words are one query, its words in order of their largest impact.
+The pivot is the first word by which these impacts add up to the threshold: an item that reaches it holds the pivot word or
+one behind it, so only their lists are opened, and blocks in none of them are skipped. Blocks that are left are held to
+ever closer bounds: the largest impacts in them of the opened lists with all there could be of the others (WAND), the
+largest impacts in them of all words (block-max), then their items' scores. Nothing grows with passages times blocks. All
+items at or above the threshold are retrieved, no matter how many.
 
 A retrieved pair is verified: the item's question (all but its last sentence) and answer (its last sentence) must each
 have their share of word triples in the passage.
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .license_scan import folded
 
 K1, B = 1.2, 0.75
 RATIO, QUESTION, ANSWER, GRAM = 0.6, 0.6, 0.5, 3
 BLOCK = 8
+LEAST = 1 - 1e-9
 SHARD_CHARS = 8_000_000
 DOCS_AT_ONCE = 256
 MEMO = 500_000
@@ -93,49 +97,68 @@ class Bm25Index:
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.item = np.array([i for p in postings for i, _ in p], np.int64)
         self.impact = np.array([x for p in postings for _, x in p])
-        # of each word: its blocks, and the largest impact in each
+        # of each word: its blocks (key: word and block), the largest impact in each, and its place in the lists
         term = np.repeat(np.arange(len(postings)), sizes)
-        key, where = np.unique(term * self.blocks + self.item // BLOCK, return_inverse=True)
-        self.block_max = np.zeros(len(key))
-        np.maximum.at(self.block_max, where, self.impact)
-        self.block = key % self.blocks
-        self.block_starts = np.searchsorted(key // self.blocks, np.arange(len(postings) + 1))
+        self.key, self.key_starts = np.unique(term * self.blocks + self.item // BLOCK, return_index=True)
+        self.block_max = np.maximum.reduceat(self.impact, self.key_starts)
+        self.key_starts = np.append(self.key_starts, len(self.item))
+        self.block_starts = np.searchsorted(self.key // self.blocks, np.arange(len(postings) + 1))
         self.list_max = np.maximum.reduceat(self.impact, self.starts[:-1])
 
     def search(self, passage: np.ndarray, term: np.ndarray, passages: int) -> list[tuple[int, int, float]]:
         """(passage, item, score) of all at or above the threshold, from distinct (passage, word) rows by passage."""
-        bound = np.bincount(passage, self.list_max[term], passages)
-        keep = bound[passage] >= 1 - 1e-9
-        passage, term = passage[keep], term[keep]
+        most = self.list_max[term]
+        keep = np.bincount(passage, most, passages)[passage] >= LEAST
+        passage, term, most = passage[keep], term[keep], most[keep]
         if not len(term):
             return []
+        order = np.lexsort((most, passage))
+        term, most = term[order], most[order]
+        total = np.cumsum(most)
+        first = np.searchsorted(passage, np.arange(passages + 1))  # of each passage: its rows
+        behind = total - np.append(0.0, total)[first[passage]] >= LEAST - 1e-6  # at the pivot or behind it
+        rest = np.bincount(passage, np.where(behind, 0.0, most), passages)
+        opened = np.where(behind, self.block_starts[term + 1] - self.block_starts[term], 0)
         out = []
-        for a, b in _slabs(passage, self.blocks):
-            first = passage[a]
-            p, t = passage[a:b] - first, term[a:b]
-            n = self.block_starts[t + 1] - self.block_starts[t]
-            at = np.repeat(self.block_starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            sums = np.bincount(np.repeat(p, n) * self.blocks + self.block[at], self.block_max[at], (p[-1] + 1) * self.blocks)
-            for cell in np.flatnonzero(sums >= 1 - 1e-9):
-                q, block = divmod(int(cell), self.blocks)
-                terms = t[np.searchsorted(p, q) : np.searchsorted(p, q, "right")]
-                scores = np.zeros(BLOCK)
-                for x in terms:
-                    lo, hi = self.starts[x], self.starts[x + 1]
-                    items = self.item[lo:hi]
-                    i, j = np.searchsorted(items, block * BLOCK), np.searchsorted(items, (block + 1) * BLOCK)
-                    scores[items[i:j] - block * BLOCK] += self.impact[lo + i : lo + j]
-                out += [(q + int(first), block * BLOCK + int(k), float(scores[k])) for k in np.flatnonzero(scores >= 1 - 1e-9)]
+        for a, b in _runs(opened, first):
+            rows = a + np.flatnonzero(behind[a:b])
+            at = _places(self.block_starts[term[rows]], opened[rows])
+            cell, where = np.unique(np.repeat(passage[rows], opened[rows]) * self.blocks + self.key[at] % self.blocks, return_inverse=True)
+            cell = cell[np.bincount(where, self.block_max[at]) + rest[cell // self.blocks] >= LEAST]
+            n = first[cell // self.blocks + 1] - first[cell // self.blocks]
+            for c, d in _runs(n, np.arange(len(n) + 1)):
+                out += self._score(cell[c:d], n[c:d], term[_places(first[cell[c:d] // self.blocks], n[c:d])])
         return out
 
-
-def _slabs(passage: np.ndarray, blocks: int, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose passages, times the blocks, stay within bounds."""
-    width = max(1, most // blocks)
+    def _score(self, cell: np.ndarray, n: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+        """Of blocks with ``n`` words each to look up."""
+        p, block = np.divmod(cell, self.blocks)
+        own = np.repeat(np.arange(len(cell)), n)
+        key = term * self.blocks + block[own]
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[at] == key
+        own, at = own[there], at[there]
+        live = (np.bincount(own, self.block_max[at], len(cell)) >= LEAST)[own]
+        own, at = own[live], at[live]
+        m = self.key_starts[at + 1] - self.key_starts[at]
+        at = _places(self.key_starts[at], m)
+        scores = np.bincount(np.repeat(own, m) * BLOCK + self.item[at] % BLOCK, self.impact[at], len(cell) * BLOCK)
+        return [(int(p[k // BLOCK]), int(block[k // BLOCK] * BLOCK + k % BLOCK), float(scores[k])) for k in np.flatnonzero(scores >= LEAST).tolist()]
+
+
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of ``n``."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _runs(n: np.ndarray, first: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, cut between the groups that begin at ``first``, of about ``most`` in all."""
+    sums = np.append(0, np.cumsum(n))[first]
     a = 0
-    while a < len(passage):
-        b = int(np.searchsorted(passage, passage[a] + width))
-        yield a, b
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + most, side="right")) - 1)
+        if first[a] < first[b]:
+            yield int(first[a]), int(first[b])
         a = b
 
 
@@ -202,7 +225,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_co
     repeated rows of documents or items give repeated rows. Columns of ``docs`` that clash with the result's are dropped.
     """
     kept = [c for c in docs.columns if c not in (text_col, "item_id", "bm25_ratio", "question_share", "answer_share")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(fresh("text", docs)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), LEAK])
     out = None
     for index in _indexes(spark, benchmark, item_id, item_text, ratio):
