@@ -42,31 +42,100 @@ case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when 2
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
 
 
-@query()
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: Rules that look around, which RE2 cannot: (what stands before a match, the pattern up to where it looks ahead, what
+#: follows it, a further condition on the match m). A match is tried at each place of a text.
+_AROUND = {
+    "phone_na_v1": (r"[0-9A-Za-z_]", r"\+?1?[-.\s]?\(?[2-9][0-9]{2}\)?[-.\s]?[2-9][0-9]{2}[-.\s]?[0-9]{4}", r"(?:[^0-9]|\z)", None),
+    "ssn_v1": (None, r"\d{3}[-\s]\d{2}[-\s]\d{4}", "", "m[1:1] <> '9' and m[1:3] not in ('000', '666') and m[5:6] <> '00' and m[8:11] <> '0000'"),
+    "pii_scanner_pii_phone_v1": (r"[0-9A-Za-z_]", r"\+?1?[-.\s]?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}", r"(?:[^0-9]|\z)", None),
+    "pii_health_v3": (r"[0-9A-Za-z_]", r"(?:diagnosis|dx|condition|hx|history|medical\s*history|health\s*record)\s*[:\-]?\s*", "[A-Za-z]", None),
+    "xss_script_v2": (None, r"<\s*script[^>]*>(?:[\x00-\x{10FFFF}])*?(?:alert|eval|prompt|confirm|document\.write|window\.location|fetch\s*\(|new\s+Function|atob\s*\()", "", r"not regexp_matches(m, '(?i)^<\s*script[^>]*>(?s:.*)</\s*script\s*>')"),
+    "jwt_none_empty_signature_v1": (None, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", r"(?:[^A-Za-z0-9_-]|\z)", None),
+}
+
+
+def _around_sql(rules, table: str, key: str, text: str) -> str:
+    """CTEs that end in ``around`` (k, ord, neg, i, s, match): the matches of the rules that look around."""
+    parts = []
+    for r in rules:
+        before, core, after, further = _AROUND[r.name]
+        core = R._rewritten(core, "", False)
+        fold = "(?i)" if "i" in r.flags else ""
+        alone = f"regexp_extract(substr({text}, p::bigint), {_q(f'{fold}^({core}){after}')}, 1)"
+        where = [f"not regexp_matches(substr({text}, p::bigint - 1, 1), {_q(f'^{before}$')})" if before else "true", further or "true"]
+        tried = f"select {key} as k, {text}, unnest(range(1, length({text}) + 1)) as p from {table} where regexp_matches({text}, {_q(fold + core)})"
+        parts.append(f"select k, {r.ord} as ord, {-r.rank} as neg, p, m from (select k, {text}, p, {alone} as m from ({tried}) where p = 1 or {where[0]}) where m <> '' and {where[1]}")
+    return f"""place as ({' union all '.join(parts)}),
+step as (select k, ord, neg, min(p) as p, 1::bigint as i from place group by k, ord, neg union all
+  select x.k, x.ord, x.neg, (select min(q.p) from place q where q.k = x.k and q.ord = x.ord and q.p >= x.p + length((select m from place w where w.k = x.k and w.ord = x.ord and w.p = x.p))), x.i + 1 from step x where x.p is not null),
+around as (select step.k, step.ord, step.neg, step.i, step.p - 1 as s, place.m as match from step join place on place.k = step.k and place.ord = step.ord and place.p = step.p)"""
+
+
+_DIGITS_SQL = "list_reverse(list_transform(regexp_extract_all(match, '[0-9]'), lambda c: c::int))"
+_LUHN_SQL = f"(len({_DIGITS_SQL}) >= 2 and list_sum(list_transform({_DIGITS_SQL}, lambda d, j: case when j % 2 = 1 then d when d > 4 then 2 * d - 9 else 2 * d end)) % 10 = 0)"
+_INFO_SQL = "info(ord, category, severity, rank, facet, name) as (values " + ", ".join(f"({r.ord}, {_q(r.category)}, {_q(r.severity)}, {r.rank}, {r.facet}, {_q(r.name)})" for r in R.catalog()) + ")"
+
+
+def _findings_sql(table: str, key: str, text: str, policy: str = "earliest", rules=R.catalog()) -> str:
+    """CTEs that end in ``finding`` (k, ord, category, severity, rank, facet, name, start, end, match): the whole catalog."""
+    cards = ", ".join(str(r.ord) for r in rules if r.category == detect.CARD)
+    rows = " union all ".join(
+        f"select {key} as k, {r.ord} as ord, {-r.rank} as neg, regexp_extract_all({text}, {_q(r.re2)}) as m, regexp_split_to_array({text}, {_q(r.re2)}) as p from {table} where regexp_matches({text}, {_q(r.re2)})" for r in rules if r.re2 is not None
+    )
+    clash = "len(list_filter(w.kept, lambda o: o.s < x.e and x.s < o.e)) = 0"
+    walks = {
+        "earliest": """walk(k, n, last, kept, taken) as (select k, 0::bigint, 0::bigint, false, 0 from (select distinct k from sorted)
+  union all select w.k, w.n + 1, case when x.s >= w.last and w.taken < 50 then x.e else w.last end, x.s >= w.last and w.taken < 50, w.taken + case when x.s >= w.last and w.taken < 50 then 1 else 0 end from walk w join sorted x on x.k = w.k and x.n = w.n + 1),
+chosen as (select x.* from sorted x join walk w on w.k = x.k and w.n = x.n where w.kept)""",
+        "severity": f"""walk(k, n, kept, took) as (select k, 0::bigint, []::struct(s bigint, e bigint)[], false from (select distinct k from sorted)
+  union all select w.k, w.n + 1, case when {clash} then list_append(w.kept, {{'s': x.s, 'e': x.e}}) else w.kept end, {clash} from walk w join sorted x on x.k = w.k and x.n = w.n + 1),
+chosen as (select * from (select x.*, row_number() over (partition by x.k order by x.s, x.neg, x.ord, x.i) as place from sorted x join walk w on w.k = x.k and w.n = x.n where w.took) where place <= 50)""",
+    }
+    order = "s, neg, ord, i" if policy == "earliest" else "neg, s, s - e, ord, i"
+    return f"""{_INFO_SQL}, {_around_sql([r for r in rules if r.re2 is None], table, key, text)}, found as ({rows}),
+spans as (select k, ord, neg, i, length(array_to_string(p[1:i], '')) + coalesce(length(array_to_string(m[1:i - 1], '')), 0) as s, m[i] as match from (select *, unnest(generate_series(1, len(m))) as i from found) union all select k, ord, neg, i, s, match from around),
+counted as (select * from spans where ord not in ({cards}) or {_LUHN_SQL}),
+capped as (select *, s + length(match) as e from (select *, row_number() over (partition by k order by ord, i) as c from counted) where c <= 200),
+sorted as (select *, row_number() over (partition by k order by {order}) as n from capped), {walks[policy]},
+finding as (select k, ord, category, severity, rank, facet, name, s::int as start, e::int as "end", match from chosen join info using (ord))"""
+
+
+_FOUND_SQL = f"with recursive {_findings_sql('documents', 'doc_id', 'text')}"
+_COLUMNS = 'ord, category, severity, rank, facet, name, start, "end", match'
+
+
+@query(f"{_FOUND_SQL} select k as doc_id, {_COLUMNS} from finding")
 def detect_all(spark, sf):
     """Every finding of every document: the full catalog, checksums, overlaps and caps."""
     return reports.scan_table(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
-@query()
+@query(f"{_FOUND_SQL} select category, severity, count(*)::bigint as n_findings, max(rank) as worst_rank from finding group by category, severity")
 def detect_summary(spark, sf):
     return reports.summary(detect_all(spark, sf), "category", "severity")
 
 
+@query(f"""{_FOUND_SQL}, o as (select k, count(*)::bigint as n from finding group by k) select k as doc_id, n as n_findings, false as any_long, 'Riskweave: ' || n || ' sensitive item' || case when n = 1 then '' else 's' end || ' detected in your prompt.' as title from o""")
+def findings_overview(spark, sf):
+    return reports.overview(detect_all(spark, sf), "doc_id")
+
+
 def _spans_sql(rules, table: str, key: str, text: str) -> str:
-    q = lambda x: "'" + x.replace("'", "''") + "'"
     rows = " union all ".join(
-        f"select {key} as k, {r.ord} as ord, {-r.rank} as neg, regexp_extract_all({text}, {q(r.re2)}) as m, regexp_split_to_array({text}, {q(r.re2)}) as p from {table} where regexp_matches({text}, {q(r.re2)})" for r in rules
+        f"select {key} as k, {r.ord} as ord, {-r.rank} as neg, regexp_extract_all({text}, {_q(r.re2)}) as m, regexp_split_to_array({text}, {_q(r.re2)}) as p from {table} where regexp_matches({text}, {_q(r.re2)})" for r in rules
     )
     return f"""found as ({rows}),
 spans as (select k, ord, neg, i, length(array_to_string(p[1:i], '')) + coalesce(length(array_to_string(m[1:i - 1], '')), 0) as s, m[i] as match from (select *, unnest(generate_series(1, len(m))) as i from found)),
@@ -94,24 +163,26 @@ def detect_page_markup(spark, sf):
     return found.select("page_id", "ord", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "match")
 
 
-@query()
+@query(f"with recursive {_findings_sql('documents', 'doc_id', 'text', 'severity')} select k as doc_id, {_COLUMNS} from finding")
 def detect_severity_policy(spark, sf):
     return reports.scan_table(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", policy="severity")
 
 
-@query()
+@query(f"with recursive {_findings_sql('c', 'cid', 'text')} select role, category, count(*)::bigint as n from finding join c on c.cid = k group by role, category".replace("with recursive ", "with recursive c as (select row_number() over () as cid, role, text from conversations), ", 1))
 def detect_conversations(spark, sf):
     c = _t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     found = detect.detect(c)
     return found.select("role", F.explode("findings").alias("f")).groupBy("role", F.col("f.category").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_FOUND_SQL}, w as (select k, count(*)::int as n, arg_min(category, (-rank, start, ord)) as category, arg_min(severity, (-rank, start, ord)) as severity from finding group by k)
+select doc_id, coalesce(n, 0) as n_findings, category as top_category, severity as top_severity, length(text) >= 2000 as is_long from documents left join w on k = doc_id""")
 def risk_per_text(spark, sf):
     return reports.per_text(detect.detect(_t(spark, sf, "documents").select("doc_id", "text")), "doc_id")
 
 
-@query()
+@query(f"""{_FOUND_SQL}, l(category, label, short) as (values """ + ", ".join(f"({_q(c)}, {_q(S.LABELS.get(c) or next((y + c[len(x):] for x, y in S.LABEL_PREFIXES if c.startswith(x)), c))}, {_q(S.SHORT_LABELS.get(c, c))})" for c in dict.fromkeys(r.category for r in R.catalog())) + """)
+select k as doc_id, start, case when length(match) > 8 then substr(match, 1, 4) || '…' || right(match, 4) else match end as masked, label || ' (severity: ' || severity || ')' as description, short from finding join l using (category)""")
 def mask_findings(spark, sf):
     found = detect_all(spark, sf)
     return found.select("doc_id", "start", S.mask(F.col("match")).alias("masked"), S.describe(F.col("category"), F.col("severity")).alias("description"), S.short_label(F.col("category")).alias("short"))
@@ -139,7 +210,8 @@ def host_hashes(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", S.host_hash(F.col("c_name")).alias("domain_hash"))
 
 
-@query()
+@query(f"""{_FOUND_SQL} select k as doc_id, 1 as event_version, substr(sha256(lower(source || '.example.com')), 1, 16) as domain_hash, facet, category, severity, 'send_anyway' as user_action, {NOW}::bigint + k as timestamp, '1.0+regex-v1' as model_version, '1.0' as app_version, 1.0::double as confidence
+from finding join documents on doc_id = k where category in (""" + ", ".join(map(_q, R.WIRE_CATEGORIES)) + ")")
 def finding_events(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text", "source")
     return findings_to_events(docs, "doc_id", F.concat("source", F.lit(".example.com")), F.lit(NOW) + F.col("doc_id"))
@@ -222,7 +294,8 @@ def threshold_sweep(spark, sf):
     return evaluate.sweep(scored(spark, sf)).select("threshold", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"))
 
 
-@query()
+@query(f"""with {_SCORED_SQL}, t as (select unnest([{', '.join(map(str, evaluate.THRESHOLDS))}]::double[]) as threshold), c as (select lang, threshold, count(*) filter (score >= threshold and label = 1) as tp, count(*) filter (score >= threshold and label <> 1) as fp, count(*) filter (score < threshold and label = 1) as fn from scored, t group by lang, threshold),
+f as (select lang, threshold, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn)::double else 0 end as f1 from c) select lang, threshold, round(f1, 6) as f1 from (select *, row_number() over (partition by lang order by f1 desc, threshold) as n from f) where n = 1""")
 def best_thresholds(spark, sf):
     swept = evaluate.sweep(scored(spark, sf), by=("lang",))
     return evaluate.best_threshold(swept, ("lang",)).select("lang", "threshold", F.round("f1", 6).alias("f1"))
@@ -264,12 +337,19 @@ def attack_phrases(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", S.contains_any(F.col("text"), ("act as", "you are now", "jailbreak", "no restrictions")).alias("attack"))
 
 
-@query("""select doc_id, case when n <= 2048 then 1 when n <= 3072 then 2 when n <= 4096 then 3 else 5 end as n_windows, case when n <= 512 then 512 else 2048 end as width from (select doc_id, length(text) as n from documents)""")
+@query("""with d as (select doc_id, coalesce(length(text), 0) as n from documents), c as (select *, case when n <= 2048 then 1 else least(4, ceil((n - 2048) / 1024.0)::int + 1) end as c from d),
+x as (select doc_id, n, case when n <= 2048 then 0 when k = c then n - 2048 else k * 1024 end as s from c, range(0, 5) as r(k) where k < c or (k = c and n > 4096)),
+y as (select doc_id, n, s, case when n <= 512 then 512 else 2048 end as width, case when n <= 512 then least(n, 510) else least(2046, n - s) end as len from x)
+select doc_id, s::int as start, case when n > 0 then (s + 1) % 1000 + 3 end::int as first_id, case when n > 0 then (s + len) % 1000 + 3 end::int as last_id, width, (len + 2)::int as n_mask from y""")
 def token_windows(spark, sf):
-    """Windows over a text's characters as ids."""
-    d = _t(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 0, F.transform(F.sequence(F.lit(1), F.length("text")), lambda k: (k % 1000 + 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("ids"))
-    w = windows.extract_windows(d)
-    return w.select("doc_id", F.size("windows").alias("n_windows"), F.size(F.get("windows", F.lit(0))["input_ids"]).alias("width"))
+    """Windows over a text's characters as ids, by their first and last id, size and mask."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    d = _t(spark, sf, "documents").select("doc_id", n.alias("n"), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: (k % 1000 + 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("ids"))
+    starts = F.when(F.col("n") <= windows.SHORT, F.array(F.lit(0))).otherwise(windows.window_starts(F.col("n")))
+    w = windows.extract_windows(d).select("doc_id", "n", F.explode(F.arrays_zip(starts.alias("start"), F.col("windows").alias("w"))).alias("x"))
+    ids, used = F.col("x.w.input_ids"), F.array_position(F.col("x.w.input_ids"), windows.SEP).cast("int")
+    some = F.col("n") > 0
+    return w.select("doc_id", F.col("x.start").alias("start"), F.when(some, F.get(ids, F.lit(1))).alias("first_id"), F.when(some, F.get(ids, used - 2)).alias("last_id"), F.size(ids).alias("width"), F.aggregate("x.w.attention_mask", F.lit(0), lambda a, m: a + m).alias("n_mask"))
 
 
 @query("""select doc_id, case when length(text) >= 2000 then 'prompt_injection_ml_long' else 'prompt_injection_ml' end as category, case when length(text) >= 2000 then 'medium' else 'high' end as severity, substr(text, 1, 80) as match from scored where score >= 0.05""".replace("select doc_id", f"with {_SCORED_SQL} select doc_id", 1))

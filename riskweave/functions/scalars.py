@@ -128,6 +128,24 @@ def url_allowed(url: Column) -> Column:
     return F.coalesce((scheme == "https") | ((scheme == "http") & host.isin(*LOCAL_HOSTS)), F.lit(False))
 
 
+def url_encoded(text: Column) -> Column:
+    """Percent-encoding of a part of a URL: all but letters, digits and ``-_.!~*'()`` in UTF-8, a blank as %20."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for mark in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return out
+
+
+def check_url(base: str, host: Column) -> Column:
+    """Where a host is asked for."""
+    return F.concat(F.lit(f"{base.rstrip('/')}/check?domain="), url_encoded(host))
+
+
+def base64_bytes(text: Column) -> Column:
+    """The bytes of standard base64; null where it is none."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def softmax2(logits: Column) -> Column:
     """Probability of the second of two logits."""
     a, b = F.get(logits, F.lit(0)), F.get(logits, F.lit(1))

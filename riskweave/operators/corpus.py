@@ -23,6 +23,10 @@ QUOTAS = {
     "v01_train": 20_000, "v01_test": 2_000, "v01_val": 2_000, "public_train_attack": 10_000, "public_train_benign": 20_000, "owasp_v2": 20_000, "atlas_v2": 12_000, "eu_ai_act_v2": 6_000,
     "long_benign_v2": 12_000, "multilingual_v2": 10_000, "obfuscated_v2": 6_000, "r8_augmented_train": 25_000, "r7_long_benign_train": 10_000,
 }
+FORMER_QUOTAS = {
+    "v01_train": 20_000, "v01_test": 2_000, "v01_val": 2_000, "public_train_attack": 10_000, "public_train_benign": 20_000, "owasp_v2": 20_000, "atlas_v2": 12_000, "eu_ai_act_v2": 6_000,
+    "long_benign_v2": 12_000, "multilingual_v2": 10_000, "obfuscated_v2": 6_000, "r8_augmented_train": 25_000, "r7_long_benign_train": 10_000, "r8_long_augmented_train": 30_000,
+}
 SPOILED_SOURCE = "r7_v0.1::long_context_v7"
 
 
@@ -71,8 +75,20 @@ def hold_out(df: DataFrame, key: str = "id", share: float = 0.05, seed: int = 42
     if take == 0:
         return df.withColumn("split", F.lit("train"))
     hashed = df.withColumn("_h", _shuffled(seed, key))
-    cut = hashed.select("_h", F.col(key).alias("_k")).orderBy("_h", "_k").limit(take).agg(F.max(F.struct("_h", "_k")).alias("m")).first()["m"]
-    return hashed.withColumn("split", F.when(F.struct("_h", key) <= F.struct(F.lit(cut[0]), F.lit(cut[1])), "val").otherwise("train")).drop("_h")
+    # the cut's hash, 16 bits at a time: each count gives 65,536 rows at most, whatever the table's size
+    low, left = -(2**63), take
+    for shift in (48, 32, 16, 0):
+        step = F.shiftright(F.col("_h") - F.lit(low), shift) if shift < 48 else F.shiftright("_h", 48) + 32768
+        part = hashed if shift == 48 else hashed.filter(F.col("_h").between(low, low + 2 ** (shift + 16) - 1))
+        for k, count in sorted(part.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()):
+            if count >= left:
+                low += k << shift
+                break
+            left -= count
+    # of rows with that very hash the first by key
+    last = hashed.filter(F.col("_h") == low).select(F.col(key).alias("_k")).orderBy("_k").limit(left).agg(F.max("_k")).first()[0]
+    cut = (low, last)
+    return hashed.withColumn("split", F.when((F.col("_h") < cut[0]) | ((F.col("_h") == cut[0]) & (F.col(key) <= F.lit(cut[1]))), "val").otherwise("train")).drop("_h")
 
 
 def bucketed(df: DataFrame, text_col: str = "text") -> DataFrame:

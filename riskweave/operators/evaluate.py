@@ -25,6 +25,11 @@ def confusion(df: DataFrame, threshold: Column | float, by: tuple[str, ...] = ()
     )
 
 
+def throughput(n: Column, seconds: Column) -> Column:
+    """Records a second to two digits (half to even); null without time."""
+    return F.when(seconds > 0, F.bround(n / seconds, 2))
+
+
 def rounded(metrics: DataFrame, digits: int = 4) -> DataFrame:
     """Rates rounded half to even."""
     return metrics.withColumns({c: F.bround(c, digits) for c in ("recall", "fpr", "precision", "f1", "accuracy", "fnr") if c in metrics.columns})
@@ -54,6 +59,25 @@ def best_threshold(swept: DataFrame, by: tuple[str, ...] = (), least_recall: flo
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def hard_threshold(swept: DataFrame, short: DataFrame, long_benign: DataFrame, least_recall: float = 0.95, most_fpr: float = 0.10) -> DataFrame:
+    """The row of ``swept`` of greatest f1 among the thresholds at which short attacks are found and long harmless texts are
+    not: sweeps over all rows, over short attacks and over long harmless texts; of equals the lowest threshold."""
+    within = swept.join(short.select("threshold", F.col("recall").alias("short_recall")), "threshold").join(long_benign.select("threshold", F.col("fpr").alias("long_fpr")), "threshold")
+    return best_threshold(within.filter((F.col("short_recall") >= least_recall) & (F.col("long_fpr") <= most_fpr)))
+
+
+def relabelled_recall(df: DataFrame, threshold: float) -> DataFrame:
+    """Of the rows whose label was mended: how many, and the share that the score finds."""
+    fixed = F.coalesce(F.col("fix_applied"), F.lit(False))
+    hit = F.col("score") >= threshold
+    return df.agg(F.count_if(fixed).alias("n"), F.count_if(fixed & hit).alias("found"), _ratio(F.count_if(fixed & hit), F.count_if(fixed)).alias("recall"))
+
+
+def to_evaluate_again(results: DataFrame, corpora: DataFrame, name: str = "corpus", error: str = "error") -> DataFrame:
+    """The corpora that ran out of time, of those that are there."""
+    return corpora.join(results.filter(F.col(error) == "timeout").select(name), name, "left_semi")
+
+
 def percentiles(df: DataFrame, by: tuple[str, ...], score: str = "score") -> DataFrame:
     """p10, p50, p90 by index of the sorted scores (n // 10, n // 2, 9n // 10; ends for fewer than ten), exactly.
 

@@ -39,7 +39,8 @@ def false_positive_event(events: DataFrame, reason: Column, opted_in: Column) ->
 def queue_event(df: DataFrame) -> DataFrame:
     """The wider queue form: defaults for what is missing, empty extras absent. Not to be mixed with wire events."""
     or_ = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)).alias(c)
-    extras = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("attack_keywords_hash", "attack_pattern_id", "bundle_signature") if c in df.columns]
+    texts, numbers = ("attack_keywords_hash", "attack_pattern_id", "bundle_signature"), ("model_consensus", "similar_attack_count_30d")
+    extras = [F.nullif(F.col(c), F.lit("" if c in texts else 0)).alias(c) for c in (*texts, *numbers) if c in df.columns]
     return df.select("timestamp", "domain_hash", "category", or_("severity", "info"), or_("user_action", "detect"), or_("model_version", "unknown"), or_("app_version", "unknown"), *extras)
 
 
@@ -54,8 +55,12 @@ def validate(raw: DataFrame, now: Column, json_col: str = "json") -> DataFrame:
     Codes hold no values. ``now``: epoch seconds; a timestamp may be a day off either way.
     """
     j = F.col(json_col)
-    variant = F.try_parse_json(j)
-    keys = F.json_object_keys(j)
+    parsed = F.array(F.struct(F.try_parse_json(j).alias("event"), F.json_object_keys(j).alias("keys")))
+    # bound once for all checks; as plain columns both would be parsed anew for each of them
+    return raw.withColumn("reason", F.get(F.transform(parsed, lambda p: _first_failed(p["event"], p["keys"], now)), F.lit(0)))
+
+
+def _first_failed(variant: Column, keys: Column, now: Column) -> Column:
     kind = lambda f: F.schema_of_variant(F.try_variant_get(variant, f"$.{f}", "variant"))
     text = lambda f: F.try_variant_get(variant, f"$.{f}", "string")
     number = lambda f: F.try_variant_get(variant, f"$.{f}", "double")
@@ -93,7 +98,7 @@ def validate(raw: DataFrame, now: Column, json_col: str = "json") -> DataFrame:
     reason = F.when(F.lit(False), F.lit(""))
     for failed, code in checks:
         reason = reason.when(F.coalesce(failed, F.lit(False)), code)
-    return raw.withColumn("reason", reason)
+    return reason
 
 
 def parse_valid(valid: DataFrame, json_col: str = "json") -> DataFrame:
@@ -102,6 +107,12 @@ def parse_valid(valid: DataFrame, json_col: str = "json") -> DataFrame:
     return parsed.withColumn("facet", F.coalesce("facet", facet(F.col("category"))))
 
 
+def accept(raw: DataFrame, now: Column, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(the valid events, parsed, with their facet; the rows that are not, with their reason)."""
+    checked = validate(raw, now, json_col)
+    return parse_valid(checked, json_col), checked.filter("reason is not null")
+
+
 def audit(events: DataFrame) -> DataFrame:
     return events.select("timestamp", "domain_hash", "category", "severity", "user_action")
 

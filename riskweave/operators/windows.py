@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 CLS, SEP, PAD = 0, 2, 1
+TOXIC_LENGTH, TOXIC_PAD, TOXIC_CLS, TOXIC_SEP = 512, 0, 101, 102
 SHORT, LENGTH, STRIDE, MOST = 512, 2048, 1024, 4
 TOXIC_LABELS = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
 TOXIC_SEVERITY = {"toxic": "medium", "severe_toxic": "critical", "obscene": "medium", "threat": "high", "insult": "medium", "identity_hate": "high"}
@@ -24,31 +25,62 @@ def _window(ids: Column, length: int) -> Column:
     return F.struct(F.concat(body, F.array_repeat(F.lit(PAD), pad)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.size(body)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
 
-def window_starts(n: Column, mode: str = "tail") -> Column:
-    """Starts of the windows of ``n`` ids.
-
-    ``tail``: four at most, and a fifth, right-aligned, where ids are left; ``bounded``: four at most, the last one
-    right-aligned if it would be short; ``plain``: four at most as they come.
-    """
+def window_starts(n: Column) -> Column:
+    """Starts of the windows of ``n`` ids: four at most, and a fifth, right-aligned, where ids are left."""
     count = F.least(F.lit(MOST), F.ceil((n - LENGTH) / STRIDE).cast("int") + 1)
     starts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: k * STRIDE)
-    end = (count - 1) * STRIDE + LENGTH
-    if mode == "tail":
-        many = F.when(n > LENGTH + (MOST - 2) * STRIDE, F.array_append(starts, n - LENGTH)).otherwise(starts)
-    elif mode == "bounded":
-        many = F.when(n < end, F.concat(F.slice(starts, F.lit(1), count - 1), F.array(n - LENGTH))).otherwise(starts)
-    else:
-        many = starts
+    many = F.when(n > LENGTH + (MOST - 2) * STRIDE, F.array_append(starts, n - LENGTH)).otherwise(starts)
     return F.when(n <= LENGTH, F.array(F.lit(0))).otherwise(many)
 
 
-def extract_windows(df: DataFrame, ids_col: str = "ids", out_col: str = "windows", mode: str = "tail") -> DataFrame:
+def extract_windows(df: DataFrame, ids_col: str = "ids", out_col: str = "windows") -> DataFrame:
     """``df`` and an array of (input_ids, attention_mask). Up to 512 ids make one short window; a null array none."""
     ids, n = F.col(ids_col), F.size(ids_col)
-    long_ = F.transform(window_starts(n, mode), lambda s: _window(F.slice(ids, s + 1, LENGTH), LENGTH))
+    long_ = F.transform(window_starts(n), lambda s: _window(F.slice(ids, s + 1, LENGTH), LENGTH))
     return df.withColumn(out_col, F.when(ids.isNull(), None).when(n <= SHORT, F.array(_window(ids, SHORT))).otherwise(long_))
 
 
+def _masked(ids: Column, pad: Column) -> Column:
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad))
+    return F.struct(F.concat(ids, F.array_repeat(F.lit(0), pad)).alias("input_ids"), mask.alias("attention_mask"))
+
+
+def benchmark_windows(df: DataFrame, ids_col: str = "ids", out_col: str = "windows", length: int = LENGTH, stride: int = STRIDE, most: int = MOST) -> DataFrame:
+    """Windows of the benchmark: the ids as they are, without special ids or padding. Up to ``length`` ids make one window;
+    else ``most`` at most, the last one right-aligned if it would be short, so of a long text the ids behind are not read."""
+    ids, n = F.col(ids_col), F.size(ids_col)
+    count = F.least(F.lit(most), F.ceil((n - length) / stride).cast("int") + 1)
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.least(k * stride, n - length))
+    many = F.transform(starts, lambda s: _masked(F.slice(ids, s + 1, length), F.lit(0)))
+    return df.withColumn(out_col, F.when(ids.isNull(), None).when(n <= length, F.array(_masked(ids, F.lit(0)))).otherwise(many))
+
+
+def sizing_windows(df: DataFrame, ids_col: str = "ids", out_col: str = "windows", length: int = LENGTH, stride: int = STRIDE, most: int = MOST) -> DataFrame:
+    """Windows of the sizing experiment: ``length`` ids each between special ids, one at each stride as long as there are ids,
+    ``most`` at most; all are filled with zeros to the size of the first. Up to ``length`` ids make one window."""
+    ids, n = F.col(ids_col), F.size(ids_col)
+    framed = lambda x: F.concat(F.array(F.lit(CLS)), x, F.array(F.lit(SEP)))
+    starts = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(stride)), 1, most)
+    chunk = lambda s: F.slice(ids, s + 1, length)
+    many = F.transform(starts, lambda s: _masked(framed(chunk(s)), F.lit(length) - F.size(chunk(s))))
+    return df.withColumn(out_col, F.when(ids.isNull(), None).when(n <= length, F.array(_masked(framed(ids), F.lit(0)))).otherwise(many))
+
+
+def toxicity_input(df: DataFrame, ids_col: str = "ids", out_col: str = "window", length: int = TOXIC_LENGTH) -> DataFrame:
+    """The toxicity model's input: special ids around as many ids as fit, filled to ``length``; of no ids all filling."""
+    ids = F.slice(ids_col, 1, length - 2)
+    body = F.when(F.coalesce(F.size(ids_col), F.lit(0)) <= 0, F.array().cast("array<int>")).otherwise(F.concat(F.array(F.lit(TOXIC_CLS)), ids, F.array(F.lit(TOXIC_SEP))))
+    pad = F.lit(length) - F.size(body)
+    window = F.struct(F.concat(body, F.array_repeat(F.lit(TOXIC_PAD), pad)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.size(body)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
+    return df.withColumn(out_col, window)
+
+
+def flag_counts(df: DataFrame, col: str = "toxicity") -> DataFrame:
+    """(label, flagged, n): in how many rows each category was flagged, of how many were scored."""
+    each = df.select(F.explode(f"{col}.categories").alias("c"))
+    return each.groupBy(F.col("c.label").alias("label")).agg(F.count_if("c.flagged").alias("flagged"), F.count("*").alias("n"))
+
+
 def pooled(scores: Column, how: str = "max") -> Column:
     return F.array_max(scores) if how == "max" else F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
 

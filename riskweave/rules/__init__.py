@@ -123,17 +123,48 @@ class Rule:
         return None if re.search(r"\(\?<?[=!]", self.pattern) else _rewritten(self.pattern, self.flags, False)
 
     @cached_property
+    def required(self) -> tuple[frozenset[str], ...]:
+        """Sets of lower-case literals; every match has one of each set at least. The most telling set comes first."""
+        return required_literals(self.python.pattern)
+
+    @cached_property
+    def formula(self) -> tuple:
+        """What a match must hold, as literals that all must be there and tuples of alternatives, each such a formula."""
+        return literal_formula(self.python.pattern)
+
+    @property
     def needles(self) -> tuple[str, ...]:
-        """Lower-case literals of which every match has one at least; empty if none is known."""
-        return required_literals(self.pattern)
+        """The most telling of the required sets; empty if none is known."""
+        return tuple(sorted(self.required[0])) if self.required else ()
 
+    @cached_property
+    def least_digits(self) -> int:
+        """Every match has so many ASCII digits in a row at least."""
+        return required_run(self.python.pattern, frozenset("0123456789"))
 
-def required_literals(pattern: str, most: int = 40) -> tuple[str, ...]:
-    import re._constants as c
+    @cached_property
+    def least_run(self) -> int:
+        """Every match has so many ASCII letters, digits and ``+/_-`` in a row at least."""
+        return required_run(self.python.pattern, RUN)
+
+
+RUN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+
+
+def _parsed(pattern: str):
     import re._parser as parser
 
-    def of(items) -> set[str] | None:
-        """The best set among the parts that must all match; None: nothing known."""
+    try:
+        return parser.parse(pattern)
+    except (re.error, IndexError):
+        return []
+
+
+def required_literals(pattern: str, most: int = 40) -> tuple[frozenset[str], ...]:
+    import re._constants as c
+
+    def of(items) -> list[set[str]]:
+        """Sets of which each must be met by some literal of the parts."""
         found: list[set[str]] = []
         run = ""
         for op, arg in [*items, (None, None)]:
@@ -143,21 +174,89 @@ def required_literals(pattern: str, most: int = 40) -> tuple[str, ...]:
             if run:
                 found.append({run})
             run = ""
-            if op is c.SUBPATTERN and (x := of(arg[3])):
-                found.append(x)
-            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0 and (x := of(arg[2])):
-                found.append(x)
+            if op is c.SUBPATTERN:
+                found += of(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+                found += of(arg[2])
             elif op is c.BRANCH:
-                parts = [of(x) for x in arg[1]]
+                parts = [best(of(x)) for x in arg[1]]
                 if all(parts):
                     found.append(set().union(*parts))
-        return max((x for x in found if len(x) <= most), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+        return found
 
-    try:
-        best = of(parser.parse(pattern))
-    except (re.error, IndexError):
-        return ()
-    return tuple(sorted(best)) if best and all(len(x) > 1 or not x.isalnum() and not x.isspace() for x in best) else ()
+    def best(sets: list[set[str]]) -> set[str] | None:
+        return max((x for x in sets if len(x) <= most), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    telling = [x for x in of(_parsed(pattern)) if len(x) <= most and all(len(w) > 1 or not w.isalnum() and not w.isspace() for w in x)]
+    return tuple(dict.fromkeys(map(frozenset, sorted(telling, key=lambda x: (min(map(len, x)), -len(x), sorted(x)), reverse=True))))
+
+
+def literal_formula(pattern: str) -> tuple:
+    import re._constants as c
+
+    def of(items) -> tuple:
+        out: list = []
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is c.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if len(run) > 1:
+                out.append(run)
+            run = ""
+            if op is c.SUBPATTERN:
+                out += of(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+                out += of(arg[2])
+            elif op is c.BRANCH:
+                parts = tuple(map(of, arg[1]))
+                if all(parts):
+                    out.append(parts)
+        return tuple(out)
+
+    return of(_parsed(pattern))
+
+
+def literals_of(formula: tuple) -> set[str]:
+    return {w for x in formula for w in ([x] if isinstance(x, str) else set().union(*map(literals_of, x)))}
+
+
+def holds(formula: tuple, there: set[str]) -> bool:
+    return all(x in there if isinstance(x, str) else any(holds(part, there) for part in x) for x in formula)
+
+
+def required_run(pattern: str, within: frozenset[str]) -> int:
+    """The length of a run of characters ``within`` that every match has."""
+    import re._constants as c
+
+    def stays(op, arg) -> bool:
+        if op is c.LITERAL:
+            return chr(arg) in within
+        if op is c.IN:
+            return all((k is c.LITERAL and chr(v) in within) or (k is c.RANGE and v[1] < 128 and all(chr(x) in within for x in range(v[0], v[1] + 1))) or (k is c.CATEGORY and v is c.CATEGORY_DIGIT) for k, v in arg)
+        return False
+
+    def of(items) -> int:
+        found = run = 0
+        for op, arg in items:
+            if op in (c.MAX_REPEAT, c.MIN_REPEAT) and len(arg[2]) == 1 and stays(*arg[2][0]):
+                run += arg[0]
+            elif stays(op, arg):
+                run += 1
+            else:
+                run = 0
+                if op is c.SUBPATTERN:
+                    found = max(found, of(arg[3]))
+                elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+                    found = max(found, of(arg[2]))
+                elif op is c.BRANCH:
+                    found = max(found, min(map(of, arg[1])))
+                elif op is c.AT:
+                    continue
+            found = max(found, run)
+        return found
+
+    return of(_parsed(pattern))
 
 
 def catalog() -> tuple[Rule, ...]:

@@ -115,8 +115,23 @@ def header_end(raw: bytes, start: int) -> int:
 
 
 def threat_intel(findings: DataFrame, intel: DataFrame, key: str = "domain_hash") -> DataFrame:
-    """Adds has_iocs and ioc_count by host; hosts that the table does not know have none."""
-    return findings.join(intel.select(key, "ioc_count"), key, "left").withColumn("ioc_count", F.coalesce("ioc_count", F.lit(0))).withColumn("has_iocs", F.col("ioc_count") > 0)
+    """Adds has_iocs, ioc_count and top_categories by host; hosts that the table does not know have none."""
+    known = intel.select(key, "ioc_count", *(["top_categories"] if "top_categories" in intel.columns else []))
+    out = findings.join(known, key, "left").withColumn("ioc_count", F.coalesce("ioc_count", F.lit(0))).withColumn("has_iocs", F.col("ioc_count") > 0)
+    none = F.array().cast("array<string>")
+    return out.withColumn("top_categories", F.coalesce("top_categories", none) if "top_categories" in known.columns else none)
+
+
+def write_lockfile(old: DataFrame, fresh: DataFrame, path: str) -> None:
+    """The lockfile's lines (checksum, two blanks, name) as one sorted text file; the old one must not lie at ``path``."""
+    lines = lockfile(old, fresh).select(F.concat_ws("  ", "sha256", "name").alias("line"))
+    lines.coalesce(1).sortWithinPartitions("line").write.mode("overwrite").text(path)
+
+
+def read_lockfile(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256) of a lockfile; lines of another form are left out."""
+    parts = lambda k: F.regexp_extract("value", r"^([0-9a-f]{64})[ ]{1,2}[*]?(.+)$", k)
+    return spark.read.text(path).select(parts(2).alias("name"), parts(1).alias("sha256")).filter("sha256 <> ''")
 
 
 def message_allowed(kind: Column, sender: Column, own: str, kinds: tuple[str, ...]) -> Column:
