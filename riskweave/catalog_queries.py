@@ -9,6 +9,7 @@ from . import functions as S
 from . import rules as R
 from .operators import corpus, detect, evaluate, events, reports, windows
 from .plans import findings_to_events
+from .rules.samples import sample
 
 NOW = 1_719_000_000
 #: Rules whose finds the SQL oracle can follow: no lookaround, and no checksum.
@@ -188,6 +189,29 @@ def mask_findings(spark, sf):
     return found.select("doc_id", "start", S.mask(F.col("match")).alias("masked"), S.describe(F.col("category"), F.col("severity")).alias("description"), S.short_label(F.col("category")).alias("short"))
 
 
+#: A text for each rule, made from its pattern.
+_SAMPLES = [(r.ord, sample(r)) for r in R.catalog()]
+_SAMPLES_SQL = "samples(id, text) as (values " + ", ".join(f"({k}, {_q(t)})" for k, t in _SAMPLES if t) + ")"
+
+
+def _samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([x for x in _SAMPLES if x[1]], "id int, text string")
+
+
+@query(f"with recursive {_SAMPLES_SQL}, {_findings_sql('samples', 'id', 'text')} select k as id, {_COLUMNS} from finding")
+def detect_samples(spark, sf):
+    """The full catalog over a text for each of its rules."""
+    return reports.scan_table(_samples(spark), "id")
+
+
+@query(f"with recursive {_SAMPLES_SQL}, {_findings_sql('samples', 'id', 'text')} select ord, count(*)::bigint as n from sorted where ord = k group by ord")
+def rule_hits(spark, sf):
+    """How often each rule matches its own text, before overlaps are resolved: every rule does."""
+    rows = spark.createDataFrame([(r.ord, r.java, r.category == detect.CARD, t) for r, (_, t) in zip(R.catalog(), _SAMPLES, strict=True) if t], "ord int, pattern string, card boolean, text string")
+    found = F.regexp_extract_all("text", F.col("pattern"), 0)
+    return rows.select("ord", F.size(F.filter(found, lambda m: ~F.col("card") | S.luhn(m))).cast("long").alias("n"))
+
+
 @query("select " + ", ".join(f"count(*) filter (length(text) >= 0 and regexp_matches(text, '{x}'))::bigint as {n}" for n, x in (("n_email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9-]+[.][a-zA-Z]{2,}"), ("n_quad", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"))) + " from documents")
 def shape_counts(spark, sf):
     x = F.col("text")

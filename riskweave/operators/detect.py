@@ -14,6 +14,7 @@ for a few rules it is the lighter plan.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,17 +87,21 @@ _DIGITS, _RUNS = re.compile("[0-9]+"), re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LONG
 prefilter = lru_cache(16)(Prefilter)
 
 
+def matches(rule: R.Rule, text: str) -> Iterator[re.Match]:
+    """The matches of one rule; a card must pass its checksum."""
+    return (m for m in rule.python.finditer(text) if rule.category != CARD or _luhn(m[0]))
+
+
 def find(text: str | None, rules: tuple[R.Rule, ...], most: int = MAX_DETECTIONS, policy: str = "earliest") -> list[dict]:
     """The findings of one text."""
     if not text:
         return []
     raw = []
     for rule in prefilter(rules)(text):
-        for seq, m in enumerate(rule.python.finditer(text)):
-            if rule.category != CARD or _luhn(m[0]):
-                raw.append((m.start(), -rule.rank, rule.ord, seq, m.end(), m[0], rule))
-                if len(raw) >= 4 * most:
-                    break
+        for seq, m in enumerate(matches(rule, text)):
+            raw.append((m.start(), -rule.rank, rule.ord, seq, m.end(), m[0], rule))
+            if len(raw) >= 4 * most:
+                break
         if len(raw) >= 4 * most:
             break
     raw.sort(key=lambda s: s[:4])

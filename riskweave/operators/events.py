@@ -157,7 +157,8 @@ def rate_limit(events: DataFrame, key: str, ts_ms: str, *, order: str | None = N
     """Adds ``accepted``: fewer than ``limit`` accepted events of the key in the ``window_ms`` before. Refused ones do not count.
 
     A fold in order of time: a key's rows pass one task, sorted by Spark (which spills), and the fold holds at most
-    ``limit`` times. Every group is read as a stream, so a hot key needs no more memory than a cold one.
+    ``limit`` times. Every group is read as a stream, so a hot key needs no more memory than a cold one; but its events pass
+    one task, as each verdict follows from those before.
     """
     columns = [*events.columns]
     at_key, at_ts = columns.index(key), columns.index(ts_ms)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import LIMIT, WINDOW_MS
+from ..operators.events import DAY, LIMIT, WINDOW_MS
 
 
-def limited(events: DataFrame, key: str, ts_ms: str, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Stream form of the rate limit. State of a key: the times of its accepted events in the window, ``limit`` at most."""
+def limited(events: DataFrame, key: str, ts_ms: str, limit: int = LIMIT, window_ms: int = WINDOW_MS, keep_ms: int = DAY * 1000) -> DataFrame:
+    """Stream form of the rate limit. State of a key: the times of its accepted events in the window, ``limit`` at most; it is
+    kept for ``keep_ms`` after the key's last event, for events that come late."""
     names = [key, ts_ms]
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,7 +30,7 @@ def limited(events: DataFrame, key: str, ts_ms: str, limit: int = LIMIT, window_
             if out[-1]:
                 recent.append(int(t))
         state.update((recent,))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutDuration(max(window_ms, keep_ms))
         yield rows[names].assign(accepted=out)
 
     types = dict(events.dtypes)

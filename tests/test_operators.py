@@ -52,7 +52,7 @@ def test_windows(spark):
     got = {r.n: r.windows for r in windows.extract_windows(df).collect()}
     assert {n: len(w) for n, w in got.items()} == sizes
     assert got[10000][4].input_ids[1] == 7952 + 3 and len(got[100][0].input_ids) == 512 and sum(got[100][0].attention_mask) == 102
-    bounded = {r.n: len(r.windows) for r in windows.extract_windows(df, mode="bounded").collect()}
+    bounded = {r.n: len(r.windows) for r in windows.benchmark_windows(df).collect()}
     assert bounded[10000] == 4 and bounded[3000] == 2
 
 
