@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-
 from riskweave.llm import byte_bpe, decontaminate, html_template, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, token_store, warc
 from riskweave.llm.common import scratch_path
 
@@ -85,7 +86,7 @@ def test_jaccard_empty_and_choice(spark):
 
 def test_jaccard_chunks_of_a_task_that_runs_again(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK_DOCS", 7)
-    docs = spark.createDataFrame(corpus(), DOCS).select("text")
+    docs = spark.createDataFrame(corpus(), DOCS).selectExpr("doc_id", "xxhash64(text)", "text")
     batches = [pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])]
     first, again = ([b.to_pylist() for b in jaccard_join._token_lists(4, 3)(batches)] for _ in range(2))
     assert first == again and len({r["chunk"] for b in first for r in b}) == len(first) > 10
@@ -96,6 +97,29 @@ def test_jaccard_chunks_of_a_task_that_runs_again(spark, monkeypatch):
     assert jaccard_join.settled(spark, docs, "x") is docs and "Exchange" not in jaccard_join.settled(spark, docs.repartition(3), "x")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_deduplicate_rows(spark):
+    """Rows go by id and text: a text under an id that goes with another text stays; null ids come last."""
+    rnd = random.Random(16)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    near = a + " tail"
+    rows = [(1, a), (5, a), (5, b), (None, a), (7, c), (7, c), (None, d), (None, d), (0, near), (8, None), (8, None), (9, ""), (9, " "), (None, None)]
+    docs = spark.createDataFrame([(*r, r[0], "x") for r in rows], DOCS + ", text_hash long, least string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.deduplicate(spark, docs).collect()), key=str)
+    assert kept == sorted([(0, near), (5, b), (7, c), (None, d), (8, None), (8, None), (9, ""), (9, " "), (None, None)], key=str)
+    assert jaccard_join.deduplicate(spark, docs.limit(0)).count() == 0
+
+
+def test_jaccard_common_token(spark):
+    """One shingle in all documents, near copies among them."""
+    rnd = random.Random(17)
+    rows = []
+    for k in range(150):
+        w = prose(rnd, 40).split() if k % 3 or not rows else rows[rnd.randrange(len(rows))][1].split()[:-4] + [f"u{k}"]
+        rows.append((k, " ".join([*w, *"one and the same".split()])))
+    got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS).repartition(7))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 4, 85)
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 30
     rows = [(1, "http://a/%0A", big), (2, "u\nv", big), (3, None, "small"), (4, "w", "small"), (5, "x", None), (None, "y", big), (7, " z ", "\r\n\r\n" * 100)]
@@ -136,6 +160,33 @@ def test_licenses(spark):
         assert sorted(join.block(block)) == sorted(want)
 
 
+def test_license_blocks_against_brute_force(spark):
+    rnd = random.Random(15)
+    words = [f"w{k}" for k in range(60)]
+    templates = tuple((f"t{k}", " ".join(rnd.choice(words) for _ in range(n))) for k, n in enumerate((3, 8, 20, 61, 110, 130, 400)))
+    rows = []
+    for k in range(40):
+        parts = [rnd.choice([*words, *["zz", "cc", "by"] * 20]) for _ in range(rnd.randrange(600))]
+        at = rnd.randrange(len(parts) + 1)
+        parts[at:at] = templates[k % 7][1].split()
+        rows.append((k, "".join(w + rnd.choice("   \n-") for w in parts)))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows + ODD[1:], DOCS).selectExpr("*", "1 as licenses"), templates=templates).collect()}
+    for d, text in rows:
+        lines = [[w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) if w] for line in text.lower().split("\n")]
+        all_words, want = [w for line in lines for w in line], set()
+        starts = np.cumsum([0, *map(len, lines)]).tolist()
+        for label, t in templates:
+            n, size, goal = len(t.split()), 120, set(t.split())
+            while size < 2 * n:
+                size *= 2
+            blocks = [*zip(starts, lines), *((a, all_words[a : a + size]) for a in range(0, max(1, len(all_words) - size // 2), size // 2))]
+            want |= {(label, a, len(b), len(goal & set(b)) / len(goal)) for a, b in blocks if len(goal & set(b)) >= 0.9 * len(goal) - 1e-9}
+        assert {tuple(b) for b in got[d].licenses.blocks} == want and f"t{d % 7}" in {b[0] for b in want}
+        assert [p.word for p in got[d].licenses.places] == [k for k in range(len(all_words)) if all_words[k : k + 2] == ["cc", "by"]]
+    none = license_scan.scan_licenses(spark.createDataFrame(rows[:2], DOCS), templates=()).collect()
+    assert all(not r.licenses.blocks for r in none) and license_scan.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_html_salted(spark, monkeypatch):
     rows = [(k, f"http://h.org/{k}", f"<div class=top>Site</div><div class=c><p>text {k} {'word ' * 30}</p></div>") for k in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -161,6 +212,68 @@ def test_html_long_template_texts(spark):
     assert all(r.text == f"text {r.page_id} {'word ' * 60}".strip() + "\n" + f"{r.page_id} {'more ' * 60}".strip() for r in got)
 
 
+def plain_site(host, n, rnd):
+    """Pages without telling elements: a menu, a title, paragraphs with a label after each, sometimes a notice, a foot."""
+    rows = []
+    for k in range(n):
+        body = [f"{k} " + prose(rnd, 30) for _ in range(rnd.randrange(1, 5))]
+        menu = "".join(f"<div class=z{j}><a href=/{j}>{prose(rnd, 1)}</a></div>" for j in range(rnd.randrange(3, 6)))
+        notice = f"<div class=q><p>{'We keep what you tell us. ' * 12}</p></div>" if k % 5 < 3 else ""
+        title = f"About {k} {prose(rnd, 2)}"
+        page = f"<body><div class=a>{menu}</div>{notice}<div class=b><h1>{title}</h1>{''.join(f'<p>{x}</p><i>Told by us</i>' for x in body)}</div><div class=c>Imprint <a href=/i>here</a></div></body>"
+        rows.append((f"http://{host}/{k}", page, "\n".join([title, *body])))
+    return rows
+
+
+def test_html_template_decides(spark):
+    rnd = random.Random(11)
+    rows = plain_site("h.org", 40, rnd) + [("http://h.org/e", "<h2>Not found</h2>", "Not found"), ("http://h.org/n", None, ""), ("http://h.org/b", " \n", ""), ("http://few.org/1", "<div class=a>x</div><p>y", "x\ny")]
+    pages = spark.createDataFrame([(k, u, p, 1, "c") for k, (u, p, _) in enumerate(rows)], "page_id long, url string, html string, text int, host string")
+    got = {r.page_id: r for r in html_template.extract(pages).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: t for k, (_, _, t) in enumerate(rows)} and got[0].host == "c"
+    alone = {k: html_template.main_text(p or "") for k, (_, p, _) in enumerate(rows)}
+    assert all("Imprint" in alone[k] and "Told by us" in alone[k] and alone[k] != got[k].text for k in range(40))
+    assert html_template.extract(pages.limit(0)).count() == 0
+
+
+def test_html_classes_against_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for h in range(4):
+        bits = [f"<div class=k{j}>{prose(rnd, 2)}</div>" for j in range(8)]
+        rows += [(f"http://{h}.org/{k}", "".join(rnd.choice(bits) * rnd.randrange(3) for _ in range(10)) + f"<p>{prose(rnd, 40)}</p>" + "<u><div>always</div></u>") for k in range(12)]
+    rows += rows[:6]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: set(r.texts) for r in html_template.templates(pages, "url", "html").collect()}
+    for h in range(4):
+        own = [p for u, p in rows if u.startswith(f"http://{h}.org/")]
+        counts = [Counter([(1, t.token) for t in x[0]] + [(2, b.token) for b in x[1]]) for x in map(html_template.read_page, own)]
+        classes = {}
+        for token in set().union(*counts):
+            classes.setdefault(tuple(c[token] for c in counts), []).append(token)
+        valid = [tokens for v, tokens in classes.items() if len(tokens) > 1 and any(k == 1 for k, _ in tokens) and 2 * sum(map(bool, v)) >= len(own) and len({p for p, n in zip(own, v) if n}) >= 5]
+        assert got[f"{h}.org"] == {t for tokens in valid for k, t in tokens if k == 2}
+
+
+def test_html_copies_are_no_template(spark):
+    """Most pages of a host are copies of one article, or nearly: its text stays."""
+    rnd = random.Random(13)
+    body = "".join(f"<p>{prose(rnd, 30)}</p>" for _ in range(4))
+    rows = [(k, f"http://h.org/{k}", f"<div class=m><h1>Title</h1>{body}<p>{k}</p></div>") for k in range(12)] + [(k, f"http://g.org/{k}", f"<h1>One</h1>{body}") for k in range(12)]
+    for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.count("\n") >= 4
+
+
+def test_html_odd_pages():
+    text = html_template.main_text
+    assert text("<article><div class='search-engine'>a</div><p class=share-price>b<p id=side-effects>c<div class='share-buttons'>no</div><div class=cookieBanner>no</div></article>") == "a\nb\nc"
+    assert text("<p data-a=it's>Hello it's</p>") == "Hello it's" and text('<p>a<a href="x>y</a> b</p>tail') == "ay b\ntail" and text("<p>1 < 2</p><") == "1 < 2"
+    began = time.time()
+    for page in ('<a b="' * 50_000, "<a " * 100_000, "<div>" * 20_000 + "</b>" * 20_000, "<b>" * 5_000 + "<div>" * 5_000 + "</b>" * 5_000, "<script>" * 50_000, "<!--" * 100_000, "</" * 100_000, "<p title='>" * 50_000, "x" * 1_000_000):
+        text(page)
+    assert time.time() - began < 20
+
+
 def test_secrets(spark):
     text = "password = hunter22secret; token:abc AKIA" + "A" * 16 + " " + "0a" * 12 + ' pwd: "Xk9$vLq2!zQ" login is changeme'
     spans = secret_scan.find_spans(text)
@@ -175,6 +288,56 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame(ODD, DOCS)).count() == len(ODD)
 
 
+def reference_cost(value):
+    """The least cost over all ways to cut the value, each segment priced by itself."""
+    lower, plain = secret_scan.folded(value)
+    cost = [0.0] + [float("inf")] * len(value)
+    for i in range(1, len(value) + 1):
+        for k in range(i):
+            prices = [secret_scan.SEGMENT + sum(map(secret_scan._brute, value[k:i]))]
+            if i - k >= secret_scan.LEAST_REPEAT and len(set(value[k:i])) == 1:
+                prices.append(secret_scan.repeat_cost(value[k], i - k))
+            if i - k >= secret_scan.LEAST_WALK and all(map(secret_scan._near, lower[k:i], lower[k + 1 : i])):
+                prices.append(secret_scan.walk_cost(i - k))
+            if i - k > 1 and (word := secret_scan.word_cost(value[k:i], lower[k:i], plain[k:i])) is not None:
+                prices.append(word)
+            if secret_scan._DATE.fullmatch(value, k, i):
+                prices.append(secret_scan.date_cost(i - k))
+            cost[i] = min(cost[i], cost[k] + min(prices))
+    return cost[-1]
+
+
+def test_guess_cost_is_least():
+    rnd = random.Random(14)
+    bit = lambda: rnd.choice([
+        lambda: rnd.choice(secret_scan.WORDS), lambda: rnd.choice(secret_scan.WORDS).title(), lambda: rnd.choice("a1x!s0") * rnd.randrange(1, 20),
+        lambda: rnd.choice(secret_scan.KEYS)[(k := rnd.randrange(6)) : k + rnd.randrange(2, 8)], lambda: f"{rnd.randrange(1890, 2040)}{rnd.choice(['', '-', '/'])}{rnd.randrange(1, 13):02}",
+        lambda: f"{rnd.randrange(1, 32)}.{rnd.randrange(1, 13)}.{rnd.randrange(100):02}", lambda: "".join(rnd.choice("aeiouqwx19$@") for _ in range(rnd.randrange(1, 5))),
+    ])()
+    for value in ["cookie1234rtyu", *("".join(bit() for _ in range(rnd.randrange(1, 5))) for _ in range(4_000))]:
+        cost, parts = secret_scan.guess_cost(value)
+        assert cost == pytest.approx(reference_cost(value), abs=1e-9) and [p[1] for p in parts] == [0, *(p[2] for p in parts[:-1])]
+    assert secret_scan.guess_cost("-" * 50_000)[0] < 10
+
+
+def test_secrets_planted(spark):
+    """What the method adds in contexts that the base patterns do not read, and what it leaves."""
+    planted = {
+        "login: Xk9vLq2zQ7": "Xk9vLq2zQ7", "my credentials = vT7#pLm2@xQ": "vT7#pLm2@xQ", "Authorization: Bearer q8Zt.4Lmx-92Kd": "q8Zt.4Lmx-92Kd", "private key => `zR8 kk2 Lp0 w`": "zR8 kk2 Lp0 w",
+        "access token -> u7Yh2Nw9": "u7Yh2Nw9", "pwd='qmzrtkvbxwplha'": "qmzrtkvbxwplha", "passcode: 8f3kq0z1": "8f3kq0z1", "pass: hunter1": None, "login: password123": None, "auth = 2024-01-02": None, "pwd: qwertyuiop": None, "no context Xk9vLq2zQ7": None,
+    }
+    docs = spark.createDataFrame([(k, "Before it. " + t + " , after") for k, t in enumerate(planted)], DOCS)
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs.withColumn("secrets", docs.doc_id)).collect()}
+    for k, want in enumerate(planted.values()):
+        assert [got[k].text[s.start : s.end] for s in got[k].secrets if s.kind == "guess"] == ([want] if want else [])
+    text = "pwd: Xk9vLq2zQ7 " * 4_000
+    assert len(secret_scan.find_spans(text)) == 4_000
+    for r in spark.createDataFrame(corpus() + [(999, text)], DOCS).transform(secret_scan.scan_secrets).collect():  # the base patterns as stated
+        base = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r.text or "", re.A | re.I) if len(m[2]) >= 6]
+        base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", r.text or "") if len(m[0]) >= 20] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", r.text or "") if len(m[0]) >= 24]
+        assert sorted(base) == sorted((s.kind, s.start, s.end) for s in r.secrets if s.kind != "guess")
+
+
 def test_secrets_whole_values(spark):
     for text, value in (
         ('password: "Summer19!kQ#77z" x', "Summer19!kQ#77z"), ("token = Summer19!kQ#77z x", "Summer19!kQ#77z"), ('pwd: "Xk9,vLq2!zQ" x', "Xk9,vLq2!zQ"),
@@ -278,12 +441,78 @@ def test_token_store(spark):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    assert len(store.get(903)) == 2 and store.get(123456) == [] and store.get(None)[0].tolist() == [2]
+    assert len(list(store.get(903))) == 2 and list(store.get(123456)) == [] and next(store.get(None)).tolist() == [2]
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     keys = np.unique(keys)
     assert sorted(token_store.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_token_store_keys(spark):
+    """The least id beside null, a key of more rows than a shard holds, a store opened again, an empty one, clashing columns."""
+    rows = [(None, "a b"), (-(2**63), "c"), *((4, f"w{k % 7} x") for k in range(3000)), (9, None), (9, ""), (10, "y " * 50_000)]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], DOCS + ", key long, shard string")
+    store = token_store.TokenStore(spark, token_store.TokenStore.write(spark, docs, shards=5).folder)
+    assert len(store.names) > 2 and [x.tolist()[-1] for x in store.get(None)] == [2] and len(list(store.get(-(2**63)))) == 1 and len(list(store.get(4))) == 3000
+    got = sorted((r.start, r.key, r.n_tokens) for r in store.read(docs.selectExpr("doc_id as key"), with_ids=False).collect() if r.key is not None)
+    assert [g[1] for g in got] == sorted(i for i, _ in rows if i is not None) and all(a[0] + a[2] == b[0] for a, b in zip(got[:-1], got[1:], strict=True))
+    assert sorted(len(x) for x in store.get(4)) == sorted(g[2] for g in got if g[1] == 4)
+    assert [r.key for r in store.read(docs.filter("doc_id is null"), "doc_id").collect()] == [None]
+    empty = token_store.TokenStore.write(spark, docs.limit(0))
+    assert empty.read(docs, "doc_id").count() == 0 and list(empty.get(4)) == [] and list(empty.get(None)) == []
+
+
+def test_token_store_other_tokenizers():
+    """A tokenizer that keeps white space and case is given whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(18)
+    texts = ["".join(rnd.choice("aB é.,;'s<|>1\n ") for _ in range(rnd.randrange(120))) for _ in range(300)] + ["<|endoftext|>. A<|ENDOFTEXT|>, b.c"]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder, public = token_store.WordEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert encoder.by_word == by_word
+        for _ in range(2):
+            assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([t.encode() for t in texts])] == [public.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_decontamination_stage_rows(spark, tmp_path):
+    """What leaks goes, with an id or without; another text under the same id stays."""
+    import corpus_pipeline
+
+    rnd = random.Random(19)
+    item, other = prose(rnd, 25) + ". " + prose(rnd, 8) + ".", prose(rnd, 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, item, 1), (3, item, 1), (3, other, 1), (None, other, 1), (4, None, 1)], DOCS + ", text_hash int")
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, other), (None, other), (4, None)], key=str)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc")
+    assert warc.read(spark, warc.write(spark, pages, folder), folder).count() == 0
+    docs = spark.createDataFrame([(1, "some words here. " * 20, 2, 3, 4)], DOCS + ", _text int, _n int, _words int")
+    got = quality_rules.quality(docs).first()
+    assert (got._text, got._n, got._words, got.quality.n_words) == (2, 3, 4, 60) and quality_rules.quality(docs.limit(0)).count() == 0
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0 and byte_bpe.decode(byte_bpe.encode(docs.limit(0))).count() == 0
+    assert quality_classifier.score(docs.limit(0), np.zeros(5, np.float32)).count() == 0
+    more = spark.createDataFrame([(1, "u", "<p>x" * 100_000, "k", 5, 6)], "page_id long, url string, html string, key string, digest int, first int")
+    folder = scratch_path(spark, "warc")
+    assert warc.read(spark, warc.write(spark, more, folder), folder).first().payload_bytes == 400_000
+    item = spark.createDataFrame([(1, "what is the long road to the sea called. the sand way.")], "item_id long, text string")
+    leak = decontaminate.leaks(spark, spark.createDataFrame([(5, item.first().text, 7, "s")], DOCS + ", item_id int, question string"), item).first()
+    assert (leak.doc_id, leak.item_id, leak.question) == (5, 1, "s")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
