@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +44,31 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release_memory() -> None:
+    """Give what a Python worker no longer uses back to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it or return it themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(rows):
+    """``rows`` (batches to batches) whose task starts and ends with little memory."""
+
+    def run(batches):
+        release_memory()
+        yield from rows(batches)
+        release_memory()
+
+    return run
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, or the first of ``name_``, ``name__``, ... that is no column of the frames (case aside)."""
     taken = {c.lower() for df in frames for c in df.columns}

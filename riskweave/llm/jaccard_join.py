@@ -3,21 +3,24 @@
 Shingles are 64-bit hashes. The join runs in these steps, none of which gathers a key's documents in one task:
 
 1. *Token lists.* Each task packs the distinct shingles of a chunk of documents into one row per hash range. A shingle
-   counts once per chunk, so one that stands in a third of all documents still costs one entry per chunk.
+   counts once per chunk, so one that stands in a third of all documents still costs one entry per chunk. A row of the
+   chunk's documents (ids, sizes, digests of their sets) goes along, so texts are read and shingled once.
 2. *Document frequencies.* The rows of a hash range meet; shingles found in one document only are dropped (they cannot
-   be shared), the others go back to their chunks with their global frequency.
+   be shared), the others go back to their chunks with their global frequency. There are as many ranges as keep one small.
 3. *Adaptive prefixes.* A document of ``n`` shingles shares at least ``need = ceil(t * n)`` with any partner, so two
    partners share ``k`` of the rarest ``n - need + k`` shingles of either, for every ``k``. Each document takes the
    ``k`` with the least estimated cost (entries to scan, plus candidates that reach ``k`` matches, times the cost of a
-   check). A pair is then held to the smaller ``k`` of the two, counted over the prefixes of that length.
+   check). A pair is then held to the smaller ``k`` of the two, counted over the prefixes of that length, before its sets
+   are compared.
 4. *Links.* Documents with equal sets are one class from the start, and so are documents with as many shingles and the
    same shared ones: what they share with any document is the same, so they have the same links. A pair's overlap is at
    most the shared shingles of either, less those whose bit (of 512) the other has not set, which decides most pairs
    without a look at the sets. Rounds come first in which each list compares its members with one pivot (linear,
    whatever its length); verified links are folded into components, and only lists that still span several components go
-   on. When the pairs left are few beside the prefixes, or the rounds are used up, all pairs left across components are enumerated, each once (at the first shared token of its
-   prefixes), held to the shared-prefix count and verified. Pairs inside one component need no check: their connection
-   is known. So components are exact.
+   on. When the pairs left are few beside the prefixes, or the rounds are used up, all pairs left across components are
+   enumerated, each once (at the first shared token of its prefixes), held to the shared-prefix count and verified. A list
+   of more than ``LIST_BLOCK`` members is enumerated by pairs of blocks, each a group of its own. Pairs inside one component
+   need no check: their connection is known. So components are exact.
 
 A collision of 64-bit shingle hashes inside one pair of documents (about 1e-14 for a pair of 600 words) is the only
 source of error.
@@ -25,7 +28,6 @@ source of error.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -37,17 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, release_memory, release_shuffles, table
 
-WORDS_MEMO = 400_000
+WORDS_MEMO = 200_000
 CHUNK_TOKENS = 1_500_000
 CHUNK_DOCS = 60_000
 INLINE = 64
 MAX_MATCHES = 16
 CHECK_COST = 20.0
 ROUNDS = 3
+LIST_BLOCK = 1_000
+RANGE_TOKENS = 2_000_000
 PAIRS_PER_ROW = 8
-_UNSETTLED = re.compile(r"Exchange|\b(?:rand|randn|uuid|shuffle)\(|Sample|TableCache|InMemory")
+_UNSETTLED = re.compile(r"Exchange|\b(?:rand|randn|uuid|shuffle)\(|Sample|TableCache|InMemoryTableScan")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -118,61 +122,86 @@ def settled(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     return materialize(spark, docs, name) if _UNSETTLED.search(plan) else docs
 
 
-PACKED = "key long, chunk string, tokens binary, counts binary, docs binary, sigs binary, sizes binary"
-
-
-def _chunk_rows(chunk: list[np.ndarray], buckets: int, partition: int, nth: int) -> Iterator[dict]:
-    """One row per hash range, and one of the documents themselves and of the lists too long to send along. A chunk is named
-    by its place, so a task that runs again gives the same rows."""
-    name = f"{partition}-{nth}"
-    tokens = np.concatenate(chunk)
-    sizes = np.array([len(x) for x in chunk], "<u4")
-    docs = np.repeat(np.arange(len(chunk), dtype="<u2"), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, docs = tokens[order], docs[order]
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    counts = np.diff(np.append(starts, len(tokens))).astype("<u4")
-    distinct = tokens[starts]
-    width = (1 << 64) // buckets + 1
-    edges = np.searchsorted(distinct, np.array([k * width for k in range(buckets)], np.uint64))
-    edges = np.append(edges, len(distinct))
-    long_lists = np.repeat(counts > INLINE, counts)
-    for k in range(buckets):
-        a, b = edges[k], edges[k + 1]
-        if a == b:
-            continue
-        lo, hi = starts[a], starts[b - 1] + counts[b - 1]
-        c = counts[a:b]
-        many = np.flatnonzero(c > 1).astype("<u4")
-        yield {"key": k, "chunk": name, "tokens": pack(distinct[a:b]), "counts": np.concatenate((many, c[many])).astype("<u4").tobytes(), "docs": docs[lo:hi][~long_lists[lo:hi]].tobytes()}
-    hot = counts > INLINE
-    yield {
-        "key": -1 - (partition << 31 | nth), "chunk": name, "tokens": pack(distinct[hot]), "counts": counts[hot].tobytes(), "docs": docs[long_lists].tobytes(),
-        "sigs": b"".join(map(signature, chunk)), "sizes": sizes.tobytes(),
-    }
+PACKED = "key long, chunk string, tokens binary, counts binary, docs binary, sigs binary, sizes binary, ids binary, hashes binary"
+PACKED_NAMES = tuple(x.split()[0] for x in PACKED.split(", "))
+
+
+class Chunk:
+    """Documents whose shingles are packed together. Those without words have size 0 and no signature."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.ids: list[int | None] = []
+        self.hashes: list[int] = []
+        self.sizes: list[int] = []
+        self.tokens = 0
+
+    def add(self, tokens: np.ndarray, doc_id: int | None, text_hash: int) -> None:
+        if len(tokens):
+            self.sets.append(tokens)
+            self.tokens += len(tokens)
+        self.ids.append(doc_id)
+        self.hashes.append(text_hash)
+        self.sizes.append(len(tokens))
+
+    @property
+    def full(self) -> bool:
+        return self.tokens >= CHUNK_TOKENS or len(self.ids) >= CHUNK_DOCS
+
+    def rows(self, buckets: int, partition: int, nth: int) -> Iterator[dict]:
+        """One row per hash range, and one of the documents themselves and of the lists too long to send along. A chunk is
+        named by its place, so a task that runs again gives the same rows."""
+        name = f"{partition}-{nth}"
+        tokens = np.concatenate([np.empty(0, np.uint64), *self.sets])
+        sizes = np.array([len(x) for x in self.sets], "<u4")
+        docs = np.repeat(np.arange(len(self.sets), dtype="<u2"), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, docs = tokens[order], docs[order]
+        del order
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+        counts = np.diff(np.append(starts, len(tokens))).astype("<u4")
+        distinct = tokens[starts]
+        width = (1 << 64) // buckets + 1
+        edges = np.searchsorted(distinct, np.array([k * width for k in range(buckets)], np.uint64))
+        edges = np.append(edges, len(distinct))
+        long_lists = np.repeat(counts > INLINE, counts)
+        for k in range(buckets):
+            a, b = edges[k], edges[k + 1]
+            if a == b:
+                continue
+            lo, hi = starts[a], starts[b - 1] + counts[b - 1]
+            c = counts[a:b]
+            many = np.flatnonzero(c > 1).astype("<u4")
+            yield {"key": k, "chunk": name, "tokens": pack(distinct[a:b]), "counts": np.concatenate((many, c[many])).astype("<u4").tobytes(), "docs": docs[lo:hi][~long_lists[lo:hi]].tobytes()}
+        hot = counts > INLINE
+        named = np.array([i is not None for i in self.ids], np.uint8)
+        yield {
+            "key": -1 - (partition << 31 | nth), "chunk": name, "tokens": pack(distinct[hot]), "counts": counts[hot].tobytes(), "docs": docs[long_lists].tobytes(),
+            "sigs": b"".join(map(signature, self.sets)), "sizes": np.array(self.sizes, "<u4").tobytes(), "ids": named.tobytes() + np.array([i or 0 for i in self.ids], "<i8").tobytes(), "hashes": np.array(self.hashes, "<i8").tobytes(),
+        }
 
 
 def _token_lists(shingle_size: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, chunk, n, nth = Shingler(shingle_size), [], 0, 0
+        release_memory()
+        shingle, chunk, nth = Shingler(shingle_size), Chunk(), 0
         context = TaskContext.get()
         partition = context.partitionId() if context else 0
 
         def flush():
-            out = list(_chunk_rows(chunk, buckets, partition, nth))
-            names = ("tokens", "counts", "docs", "sigs", "sizes")
-            return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in out], pa.int64()), pa.array([r["chunk"] for r in out]), *(pa.array([r.get(k) for r in out], pa.binary()) for k in names)], names=["key", "chunk", *names])
+            out = list(chunk.rows(buckets, partition, nth))
+            return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in out], pa.int64()), pa.array([r["chunk"] for r in out]), *(pa.array([r.get(k) for r in out], pa.binary()) for k in PACKED_NAMES[2:])], names=PACKED_NAMES)
 
         for batch in batches:
-            for text in batch.column(0):
-                if len(t := shingle(text.as_py())):
-                    chunk.append(t)
-                    n += len(t)
-                if n >= CHUNK_TOKENS or len(chunk) >= CHUNK_DOCS:
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                chunk.add(shingle(text.as_py()), doc_id, text_hash)
+                if chunk.full:
                     yield flush()
-                    chunk, n, nth = [], 0, nth + 1
-        if chunk:
+                    chunk, nth = Chunk(), nth + 1
+        if chunk.ids:
             yield flush()
+        del chunk, shingle
+        release_memory()
 
     return rows
 
@@ -184,30 +213,34 @@ def _expand(counts: bytes, n: int) -> np.ndarray:
     return out
 
 
-SHARED = "chunk string, tokens binary, dfs binary, counts binary, docs binary, sigs binary, sizes binary"
+SHARED = "chunk string, tokens binary, dfs binary, counts binary, docs binary, sigs binary, sizes binary, ids binary, hashes binary"
+SHARED_NAMES = [x.split()[0] for x in SHARED.split(", ")]
 
 
 def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
     """Of one hash range: to each chunk its tokens that stand in two documents or more. Other rows go through."""
     out = []
     if group["key"].iloc[0] < 0:
-        out = [{"chunk": r.chunk, "tokens": unpack(r.tokens).tobytes(), "counts": r.counts, "docs": r.docs, "sigs": r.sigs, "sizes": r.sizes} for r in group.itertuples()]
+        out = [{"chunk": r.chunk, "tokens": unpack(r.tokens).tobytes(), "counts": r.counts, "docs": r.docs, "sigs": r.sigs, "sizes": r.sizes, "ids": r.ids, "hashes": r.hashes} for r in group.itertuples()]
     else:
         lists = [unpack(x) for x in group["tokens"]]
         counts = [_expand(c, len(t)) for c, t in zip(group["counts"], lists, strict=True)]
-        all_tokens, all_counts = np.concatenate(lists), np.concatenate(counts)
-        distinct, where = np.unique(all_tokens, return_inverse=True)
-        df = np.zeros(len(distinct), np.int64)
-        np.add.at(df, where, all_counts)
-        df = df[where]
+        tokens = np.concatenate(lists)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        sums = np.add.reduceat(np.concatenate(counts)[order], starts)
+        df = np.empty(len(tokens), "<u4")
+        df[order] = np.repeat(np.minimum(sums, 2**32 - 1).astype("<u4"), np.diff(np.append(starts, len(tokens))))
+        del tokens, order, starts, sums
         at = 0
         for chunk, t, c, docs in zip(group["chunk"], lists, counts, group["docs"], strict=True):
             mine, at = df[at : at + len(t)], at + len(t)
             if (keep := mine > 1).any():
                 inline = np.where(c > INLINE, 0, c)
                 d = np.frombuffer(docs, "<u2")[np.repeat(keep, inline)]
-                out.append({"chunk": chunk, "tokens": t[keep].tobytes(), "dfs": np.minimum(mine[keep], 2**32 - 1).astype("<u4").tobytes(), "counts": c[keep].astype("<u4").tobytes(), "docs": d.tobytes()})
-    return pd.DataFrame(out, columns=["chunk", "tokens", "dfs", "counts", "docs", "sigs", "sizes"])
+                out.append({"chunk": chunk, "tokens": t[keep].tobytes(), "dfs": mine[keep].tobytes(), "counts": c[keep].astype("<u4").tobytes(), "docs": d.tobytes()})
+    return pd.DataFrame(out, columns=SHARED_NAMES)
 
 
 def choose(dfs: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -224,14 +257,22 @@ def choose(dfs: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return k, base + k - 1
 
 
-ACTIVE = "sig binary, node binary, size int, matches int, base int, bits array<long>, prefix array<long>, tokens array<long>"
+# A row for each document, and one (``node`` not null) for each set of a chunk that may have a partner; its prefix for k
+# matches is the first base + k - 1 of its tokens, which are its shared shingles, the rarest first.
+FOUND = "sig binary, doc_id long, text_hash long, n_shingles long, node binary, size int, matches int, base int, bits array<long>, tokens array<long>"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+FOUND_NUMBERS = frozenset(x.split()[0] for x in FOUND.split(", ") if x.split()[1] in ("long", "int"))
 BITS = 512
 
 
 def _prefixes(percent: int):
     def rows(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["sigs"].notna()].iloc[0]
-        sizes, sigs = np.frombuffer(head["sizes"], "<u4"), head["sigs"]
+        every, sigs = np.frombuffer(head["sizes"], "<u4"), head["sigs"]
+        sizes = every[every > 0]
+        named, ids = np.frombuffer(head["ids"], np.uint8, len(every)).astype(bool), np.frombuffer(head["ids"], "<i8", offset=len(every))
+        at = np.where(every > 0, np.cumsum(every > 0) - 1, -1)
+        out = [(b"" if d < 0 else sigs[16 * d : 16 * d + 16], i if known else None, h, n, *[None] * 6) for d, i, known, h, n in zip(at.tolist(), ids.tolist(), named.tolist(), np.frombuffer(head["hashes"], "<i8").tolist(), every.tolist(), strict=True)]
         hot, hot_counts, hot_docs = np.frombuffer(head["tokens"], "<u8"), np.frombuffer(head["counts"], "<u4").astype(np.int64), np.frombuffer(head["docs"], "<u2")
         hot_starts = np.concatenate(([0], np.cumsum(hot_counts)))
         toks, dfs, docs = [], [], []
@@ -247,11 +288,11 @@ def _prefixes(percent: int):
                 toks.append(np.full(len(d), x))
                 dfs.append(np.full(len(d), fx))
                 docs.append(d)
-        out = []
         if toks:
             toks, dfs, docs = np.concatenate(toks), np.concatenate(dfs), np.concatenate(docs)
             order = np.lexsort((toks, dfs, docs))
             toks, dfs, docs = toks[order], dfs[order], docs[order]
+            del order
             starts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
             seen = set()
             for a, b in zip(starts, np.append(starts[1:], len(docs)), strict=True):
@@ -264,8 +305,9 @@ def _prefixes(percent: int):
                     node = xxhash.xxh3_128_digest(np.append(np.sort(toks[a:b]), np.uint64(sizes[d])).tobytes())
                     bits = np.zeros(BITS, bool)
                     bits[(toks[a:b] % np.uint64(BITS)).astype(np.int64)] = True
-                    out.append((sig, node, int(sizes[d]), k, length - k + 1, np.packbits(bits).view("<i8"), signed[:length], signed))
-        return pd.DataFrame(out, columns=["sig", "node", "size", "matches", "base", "bits", "prefix", "tokens"])
+                    out.append((sig, None, None, None, node, int(sizes[d]), k, length - k + 1, np.packbits(bits).view("<i8"), signed))
+        columns = dict(zip(FOUND_NAMES, zip(*out, strict=True), strict=True))
+        return pd.DataFrame({c: pd.array(x, "Int64") if c in FOUND_NUMBERS else pd.Series(x, dtype=object) for c, x in columns.items()})
 
     return rows
 
@@ -295,16 +337,20 @@ def _reach(na, nb, overlap, percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets reach the threshold; overlap is counted on the shared tokens."""
-    a = nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
-    b = nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(_reach(F.col("na"), F.col("nb"), F.col("common"), percent)).select("a", "b")
+    """Of the pairs (a, b), those whose sets reach the threshold. Their prefixes for the smaller number of matches must share
+    that many tokens first; then the overlap is counted on all shared tokens."""
+    a, b = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", "matches", "base", "tokens"))) for x in "ab")
+    k = F.least("a_matches", "b_matches")
+    common = lambda x, y: F.size(F.array_intersect(x, y))
+    head = lambda x: F.slice(f"{x}_tokens", F.lit(1), F.col(f"{x}_base") + k - 1)
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").filter(common(head("a"), head("b")) >= k)
+    return both.filter(_reach(F.col("a_size"), F.col("b_size"), common("a_tokens", "b_tokens"), percent)).select("a", "b")
 
 
 def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """(node, comp) of every node (size, matches, base, prefix, tokens) that links with another one."""
-    rows = nodes.select("node", "size", F.size("tokens").alias("m"), F.explode("prefix").alias("token"))
+    """(node, comp) of every node (size, matches, base, bits, tokens) that links with another one."""
+    prefix = F.slice("tokens", F.lit(1), F.col("base") + F.col("matches") - 1)
+    rows = nodes.select("node", "size", F.size("tokens").alias("m"), F.explode(prefix).alias("token"))
     alone = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     rows = materialize(spark, rows.join(alone, "token", "left_semi").withColumn("comp", F.col("node")), "prefix")
     total = rows.count()
@@ -335,17 +381,24 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
         if left == 0:
             break
         if (r and left <= PAIRS_PER_ROW * total) or r == rounds:
-            open_ = rows.join(lists.select("token"), "token", "left_semi").select("token", "node", "comp")
-            open_ = open_.join(nodes.select("node", "size", F.size("tokens").alias("m"), "matches", "base", "prefix", *words), "node")
-            open_ = open_.withColumn("before", F.slice("prefix", F.lit(1), F.array_position("prefix", F.col("token")).cast("int") - 1))
-            after = F.slice("prefix", F.array_position("prefix", F.col("token")).cast("int"), F.size("prefix"))
-            open_ = materialize(spark, open_.select("token", "node", "comp", "size", "m", "matches", "base", "before", F.when(F.col("matches") > 1, after).alias("rest"), *(f"b{k}" for k in range(BITS // 64))), "open")
-            x, y = (open_.select("token", *(F.col(c).alias(f"{s}{c}") for c in ("node", "comp", "size", "m", "matches", "base", "before", "rest", *(f"b{k}" for k in range(BITS // 64))))) for s in "xy")
+            # a list's members by blocks; each pair of blocks is a group (one block, as nearly all lists have: one group)
+            blocks = lists.select("token", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
+            open_ = rows.join(blocks, "token").select("token", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+            open_ = open_.join(nodes.select("node", "size", F.size("tokens").alias("m"), "matches", "base", prefix.alias("prefix"), *words), "node")
+            place = F.array_position("prefix", F.col("token")).cast("int")
+            before, after = F.slice("prefix", F.lit(1), place - 1), F.slice("prefix", place, F.size("prefix"))
+            bits = [f"b{k}" for k in range(BITS // 64)]
+            open_ = materialize(spark, open_.select("token", "blocks", "block", "node", "comp", "size", "m", "matches", "base", before.alias("before"), F.when(F.col("matches") > 1, after).alias("rest"), *bits), "open")
+            own = ("block", "node", "comp", "size", "m", "matches", "base", "before", "rest", *bits)
+            x = open_.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"x{c}") for c in own))
+            y = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"y{c}") for c in own))
             k = F.least("xmatches", "ymatches")
             head = lambda s: F.slice(F.col(f"{s}rest"), F.lit(1), F.greatest(F.lit(0), F.col(f"{s}base") + k - 1 - F.size(f"{s}before")))
             enough = F.when(k == 1, True).otherwise(F.size(F.array_intersect(head("x"), head("y"))) >= k)
-            wanted = (F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & possible("x", "y") & _reach(F.col("xsize"), F.col("ysize"), less_apart("x", "y"), percent) & ~F.arrays_overlap("xbefore", "ybefore") & enough
-            pairs = x.join(y, (x["token"] == y["token"]) & wanted).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+            once = (F.col("xblock") != F.col("yblock")) | (F.col("xnode") < F.col("ynode"))
+            wanted = once & (F.col("xcomp") != F.col("ycomp")) & possible("x", "y") & _reach(F.col("xsize"), F.col("ysize"), less_apart("x", "y"), percent) & ~F.arrays_overlap("xbefore", "ybefore") & enough
+            same = (x["token"] == y["token"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+            pairs = x.join(y, same & wanted).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
             pairs = materialize(spark, pairs, "pairs")
             discard(spark, open_)  # before the sets are brought to the pairs
             comps = fold(pairs)
@@ -358,69 +411,89 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
     return comps if comps is not None else spark.createDataFrame([], "node binary, comp binary")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, buckets: int | None = None) -> DataFrame:
-    """One row per document: id, n_shingles, component_id.
-
-    Null or empty texts (or white space only) have n_shingles 0 and are their own component. Repeated rows each get a
-    row; equal texts always share a component. A null id counts as no id: its component is the least id it reaches.
-    Extra columns are ignored. ``buckets``: hash ranges of the token lists, by default the shuffle partitions.
-    """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _groups(spark: SparkSession, docs: DataFrame, shingle: int, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id long, text string): a row (doc_id, text_hash, n_shingles, sig) for each, and of each class of equal
+    sets that holds several rows or links with another class (sig, least), the row of its component that stays: the one of
+    least id (null last), then text hash, as (unnamed, doc_id, text_hash)."""
     docs = settled(spark, docs, "documents")  # chunks are named by place
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
-        for batch in batches:
-            found = [shingler(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(list(map(signature, found)), pa.binary())], names=["doc_id", "n_shingles", "sig"])
-
-    base = materialize(spark, docs.mapInArrow(sets, "doc_id long, n_shingles long, sig binary"), "sets")
-    lists = docs.select("text").mapInArrow(_token_lists(shingle, buckets), PACKED)
+    if buckets is None:  # a word of five characters and a space stands for a shingle
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * RANGE_TOKENS)))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    lists = hashed.mapInArrow(_token_lists(shingle, buckets), PACKED)
     shared = lists.groupBy("key").applyInPandas(_frequencies, SHARED)
-    active = shared.groupBy("chunk").applyInPandas(_prefixes(percent), ACTIVE).dropDuplicates(["sig"])
-    active = materialize(spark, active, "active")
+    found = materialize(spark, shared.groupBy("chunk").applyInPandas(_prefixes(percent), FOUND), "found")
     del lists, shared  # with them go the shuffle files of the token lists, the largest of the join
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    nodes = materialize(spark, active.drop("sig").dropDuplicates(["node"]), "nodes")
+    release_shuffles(spark)
+    base = found.filter("node is null").select("doc_id", "text_hash", "n_shingles", "sig")
+    active = found.filter("node is not null")
+    nodes = materialize(spark, active.select("node", "size", "matches", "base", "bits", "tokens").dropDuplicates(["node"]), "nodes")
+    release_shuffles(spark)
     comps = link_components(spark, nodes, percent)
 
     # a class of equal sets belongs to the component of its node, to its node if the node's sets reach each other, or to itself
     mutual = _reach(F.col("size"), F.col("size"), F.size("tokens"), percent)
-    members = active.select("sig", "node", mutual.alias("mutual")).join(comps, "node", "left")
+    members = active.select("sig", "node", mutual.alias("mutual")).distinct().join(comps, "node", "left")
     members = members.select("sig", F.when(F.col("comp").isNotNull(), F.col("comp")).when(F.col("mutual"), F.col("node")).alias("comp")).filter("comp is not null")
     members = materialize(spark, members, "members")
-    classes = base.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = base.filter("n_shingles > 0").groupBy("sig").agg(F.min(first).alias("least"), F.count("*").alias("n"))
     named = classes.join(members, "sig", "left").filter("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "sig"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    groups = named.join(least, "comp").select("sig", "component_id")
+    least = named.groupBy("comp").agg(F.min("least").alias("least"))
+    return base, named.drop("least").join(least, "comp").select("sig", "least")
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, buckets: int | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, component_id.
+
+    Null or empty texts (or white space only) have n_shingles 0 and are their own component. Repeated rows each get a
+    row; equal texts always share a component. A null id counts as no id: its component is the least id it reaches, null
+    if there is none. An empty table gives an empty one. Texts of any length are shingled whole. Extra columns are ignored,
+    whatever their names. ``buckets``: hash ranges of the token lists, by default as many as keep each at about
+    ``RANGE_TOKENS`` tokens, and one for each shuffle partition.
+    """
+    base, groups = _groups(spark, _documents(docs, id_col, text_col), shingle, percent, buckets)
     out = base.join(groups, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles and component: links at a Jaccard similarity of 0.85 on four-word shingles."""
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
-BROADCAST_IDS = 4_000_000
+BROADCAST_ROWS = 1_000_000  # of 17 bytes and a hash table's overhead
+
+
+def drop_rows(spark: SparkSession, docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, text_hash; of any rows, once or often) names: by id, null included, and
+    text. ``gone`` is broadcast while it has at most ``BROADCAST_ROWS`` rows, else joined."""
+    gone = materialize(spark, gone.select("doc_id", "text_hash").distinct(), "gone")
+    there = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(there["doc_id"]) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == there["text_hash"])
+    return docs.join(there, same, "left_anti")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that link, directly or not, with one of smaller id.
+    """``docs`` with one document of each group that links, directly or not: the one of least id.
 
-    Documents without words stay, as do those without an id, which cannot be named for removal. Rows that repeat an id and
-    its text are one document. The ids to remove are broadcast while they are at most ``BROADCAST_IDS``, else joined.
+    Null ids come last; of rows with the same least id the one whose text has the least hash stays, whatever else stands
+    under that id. Rows that repeat an id and its text are one document. Documents without words (null, empty, white space)
+    link with nothing and all stay, as do columns of any name. An empty table stays empty.
     """
-    found = materialize(spark, jaccard_components(spark, docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent), "components")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = materialize(spark, found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_col)), "repeated")
-    ids = gone.filter("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    ids = materialize(spark, ids, "gone")
-    small = ids.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
+    base, groups = _groups(spark, _documents(docs, id_col, text_col), shingle, percent, None)
+    grouped = base.filter("n_shingles > 0").join(groups, "sig").select("doc_id", "text_hash", "least")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    grouped = materialize(spark, grouped.select("doc_id", "text_hash", stays.alias("stays")), "grouped")
+    out = drop_rows(spark, docs, grouped.filter("not stays"), id_col, text_col)
+    repeated = grouped.filter("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(spark, repeated.select("doc_id", "text_hash"), "repeated")
     if repeated.limit(1).count():
-        once = out.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
-        out = out.join(repeated, id_col, "left_anti").unionByName(once)
-    return out.select(docs.columns)
-
+        same = out[f"`{id_col}`"].cast("long").eqNullSafe(repeated["doc_id"]) & (F.xxhash64(out[f"`{text_col}`"].cast("string")) == repeated["text_hash"])
+        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+        out = drop_rows(spark, out, repeated, id_col, text_col).unionByName(once)
+    return out.select(*(f"`{c}`" for c in docs.columns))
