@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
-from riskweave.llm.common import materialize, table
+from riskweave.llm.common import fresh, materialize, table
 
 #: A document whose quality score is below this goes.
 LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It is fitted on the labelled documents of its own input."""
+    """Documents that the classifier does not reject. It is fitted on the labelled documents of its own input.
+
+    Null and empty texts have the score of the intercept alone; without labels every score is one half, and all stay.
+    Repeated rows are scored each by itself; rows without an id are not learnt from.
+    """
     weights = quality_classifier.train(spark, docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, weights, out_col="_score")
-    return scored.filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+    name = fresh("score", docs)
+    scored = quality_classifier.score(docs, weights, out_col=name)
+    return scored.filter(F.col(name) >= LEAST_QUALITY).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +34,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item's question and answer stand."""
-    named = docs.filter("doc_id is not null").select("doc_id", "text")
-    leaked = decontaminate.leaks(spark, named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    leaked = materialize(spark, leaked, "leaked")
-    small = leaked.count() <= jaccard_join.BROADCAST_IDS
-    return docs.join(F.broadcast(leaked) if small else leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item's question and answer stand. Rows go by id (null included) and text, so of rows
+    that share an id only those that leak go; null and empty texts stay."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    leaked = decontaminate.leaks(spark, named, table(spark, sf_dir, "benchmark"))
+    return jaccard_join.drop_rows(spark, docs, leaked, "doc_id", "text")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +48,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    done = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text")), out_col="_decoded")
-    exact = F.coalesce("text", F.lit("")).cast("binary") == F.col("_decoded")
+    """Token ids of every document, and whether they decode to its text. A null or empty text has no ids; repeated rows and
+    those without an id each have their own."""
+    done = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    exact = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
 
