@@ -352,6 +352,13 @@ def metrics_by_source(spark, sf):
     return evaluate.by_source(scored(spark, sf), 0.5).withColumns({c: F.round(c, 9) for c in ("recall", "fpr", "mean_score")})
 
 
+@query(f"""with {_SCORED_SQL} select lang as corpus, label, count(*)::bigint as size, count(*) filter (score >= 0.5)::bigint as flagged, case when label = 1 then 'recall' else 'fpr' end as rate_of, round(count(*) filter (score >= 0.5) / count(*)::double, 9) as rate,
+round(avg(score), 9) as mean_score, min(score) as min_score, max(score) as max_score from scored group by lang, label""")
+def single_class_metrics(spark, sf):
+    found = evaluate.single_class(scored(spark, sf).withColumnRenamed("lang", "corpus"), 0.5)
+    return found.withColumns({c: F.round(c, 9) for c in ("rate", "mean_score")})
+
+
 @query(f"""with {_SCORED_SQL} select lang, (count(*) filter (score >= 0.5 and label = 1))::bigint as tp, (count(*) filter (score >= 0.5 and label <> 1))::bigint as fp, (count(*) filter (score < 0.5 and label = 1))::bigint as fn, (count(*) filter (score < 0.5 and label <> 1))::bigint as tn from scored group by rollup (lang)""")
 def totals_by_language(spark, sf):
     return evaluate.totals(scored(spark, sf), 0.5, "lang")

@@ -56,14 +56,16 @@ def sample_to_quota(df: DataFrame, spark: SparkSession, quotas: dict[str, int] |
 
     Ranks within (source, label) and the label's size decide alone, so one window and one grouped count are enough.
     """
-    quota = spark.createDataFrame([(s, int(n)) for s, n in (QUOTAS if quotas is None else quotas).items()], "source string, quota int")
+    known = QUOTAS if quotas is None else quotas
+    most = max(known.values(), default=0)  # as a literal it cuts each task's rows before they are dealt out
+    quota = spark.createDataFrame([(s, int(n)) for s, n in known.items()], "source string, quota int")
     rows = df.filter(F.length("text") <= max_chars).join(F.broadcast(quota), "source")  # a row for each source
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", "label").orderBy(_shuffled(seed, key), key)))
     sizes = rows.groupBy("source").agg(F.count_if(F.col("label") == 1).alias("_ones"), F.count_if(F.col("label") == 0).alias("_zeros"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", "label").orderBy(_shuffled(seed, key), key))).filter(F.col("_n") <= most)
     rows = rows.join(F.broadcast(sizes), "source")
     half = F.floor(F.col("quota") / 2)
     rest = F.col("quota") - F.least(half, F.col("_ones")) - F.least(half, F.col("_zeros"))
-    spare = rows.filter(F.col("_n") > half).withColumn("_m", F.row_number().over(Window.partitionBy("source").orderBy(_shuffled(seed + 1, key), key))).filter(F.col("_m") <= rest)
+    spare = rows.filter(F.col("_n") > half).withColumn("_m", F.row_number().over(Window.partitionBy("source").orderBy(_shuffled(seed + 1, key), key))).filter((F.col("_m") <= most) & (F.col("_m") <= rest))
     out = rows.filter(F.col("_n") <= half).unionByName(spare.drop("_m"))
     return out.select(*df.columns)
 

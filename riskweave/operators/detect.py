@@ -134,7 +134,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def _arrow(df: DataFrame, text_col: str, out_col: str, rules: tuple[R.Rule, ...], most: int, policy: str) -> DataFrame:
+def _arrow(df: DataFrame, text_col: str, out_col: str, rules: tuple[R.Rule, ...], most: int, policy: str, least_chars: int) -> DataFrame:
     import pyarrow as pa
 
     df = spread(df)
@@ -143,7 +143,7 @@ def _arrow(df: DataFrame, text_col: str, out_col: str, rules: tuple[R.Rule, ...]
 
     def rows(batches):
         for batch in batches:
-            found = pa.array([find(t.as_py(), rules, most, policy) for t in batch.column(at)], kind)
+            found = pa.array([find(t, rules, most, policy) if t and len(t) >= least_chars else [] for t in batch.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out_col])
 
     return df.mapInArrow(rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out_col}` {FINDINGS}"]))
@@ -161,10 +161,10 @@ def _fold(spans: Column, most: int, policy: str) -> Column:
     return F.slice(F.array_sort(kept), 1, most)
 
 
-def detect(df: DataFrame, *, text_col: str = "text", out_col: str = "findings", rules: tuple[R.Rule, ...] | None = None, disabled: tuple[str, ...] = (), max_detections: int = MAX_DETECTIONS, policy: str = "earliest", engine: str = "arrow") -> DataFrame:
+def detect(df: DataFrame, *, text_col: str = "text", out_col: str = "findings", rules: tuple[R.Rule, ...] | None = None, disabled: tuple[str, ...] = (), max_detections: int = MAX_DETECTIONS, policy: str = "earliest", engine: str = "arrow", least_chars: int = 1) -> DataFrame:
     """``df`` and an array of findings: ord, category, severity, rank, facet, name, start, end, match.
 
-    Offsets are code points, end exclusive. Null and empty texts have none. Rules of ``disabled`` categories are not
+    Offsets are code points, end exclusive. Null texts and those of fewer than ``least_chars`` characters have none. Rules of ``disabled`` categories are not
     part of the plan. ``policy``: which of two overlapping spans stays, the ``earliest`` (ties: the worse, then catalog
     order) or the one of worse ``severity``. At most ``4 * max_detections`` raw spans count, in catalog order.
     """
@@ -173,8 +173,8 @@ def detect(df: DataFrame, *, text_col: str = "text", out_col: str = "findings",
     if not rules:
         return df.select(*own, F.array().cast(FINDINGS).alias(out_col))
     if engine == "arrow":
-        return _arrow(df.select(*own), text_col, out_col, rules, max_detections, policy)
-    x = df.select(*own, F.when(F.length(text_col) > 0, F.lower(F.col(text_col))).alias("_low"))
+        return _arrow(df.select(*own), text_col, out_col, rules, max_detections, policy, least_chars)
+    x = df.select(*own, F.when(F.length(text_col) >= max(1, least_chars), F.lower(F.col(text_col))).alias("_low"))
     # the lower-cased text is bound once for all rules; as a plain column it would be computed anew for each of them
     each = lambda low: F.flatten(F.array(*(_spans(F.col(text_col), low, r, 4 * max_detections) for r in rules)))
     raw = F.when(F.col("_low").isNotNull(), F.get(F.transform(F.array("_low"), each), F.lit(0))).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -103,6 +103,16 @@ def by_source(df: DataFrame, threshold: float, source: str = "source") -> DataFr
     )
 
 
+def single_class(df: DataFrame, threshold: float, corpus: str = "corpus") -> DataFrame:
+    """Per corpus and label (a corpus is all attacks or all harmless): size, how many reach the threshold, the share of these
+    (recall of attacks, false-positive rate of the rest), score range."""
+    hit = F.col("score") >= threshold
+    return df.groupBy(corpus, "label").agg(
+        F.count("*").alias("size"), F.count_if(hit).alias("flagged"), F.when(F.col("label") == 1, "recall").otherwise("fpr").alias("rate_of"), _ratio(F.count_if(hit), F.count("*")).alias("rate"),
+        F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+    )
+
+
 def worst(per_source: DataFrame, source: str = "source") -> DataFrame:
     """The source of least recall and the one of greatest false-positive rate, first by name of equals."""
     return per_source.agg(F.min_by(source, F.struct("recall", source)).alias("worst_recall"), F.min_by(source, F.struct(-F.col("fpr"), F.col(source))).alias("worst_fpr"))

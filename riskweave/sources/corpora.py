@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 RECORD = "text string, prompt string, input string, label string, expected_label string, source string, license string, id string"
 BAD = "_bad"
-MAGIC_KEYS = ("files",)
 
 
 def read_jsonl(spark: SparkSession, path: str, mode: str = "tolerant", labels: tuple[int, ...] | None = None) -> DataFrame:
@@ -67,29 +66,53 @@ def lockfile(old: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(fresh.select("name"), "name", "left_anti").select("name", "sha256").unionByName(fresh.select("name", "sha256")).distinct().orderBy("name", "sha256")
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Bundles: a JSON header that lists files (name, size, sha256, offset), their bytes, a 64-byte signature.
+BUNDLE_FILE = "path string, version string, license string, signing_public_key string, signing_pub_key_b64 string, payload_ok boolean, file string, kind string, size long, sha256 string, ok boolean"
 
-    (path, license, file, size, sha256, ok): whether the bytes have the checksum that the header says. Signatures are
-    not verified here: that needs a library for Ed25519 and the key ring.
+
+def read_bundles(spark: SparkSession, path: str, magic: str | None = None) -> DataFrame:
+    """Bundles: anything, a JSON header that lists files (name, size, sha256, offset), their bytes, a 64-byte signature.
+
+    A row for each file: whether the payload and the file have the checksums that the header says, the file's kind (json,
+    binary or text, by its name), and the header's public key in either form (see ``registry.signing_keys``). The header is
+    the first JSON object with a list of ``files`` and, if a ``magic`` is asked for, that value under its name; a bundle
+    without one gives a row without a file. Signatures are not verified here: that needs a library for Ed25519.
     """
     import hashlib
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for p, raw in zip(part["path"], part["content"], strict=True):
-                start = bytes(raw).find(b"{")
-                if start < 0:
+            for p, raw in zip(part["path"], map(bytes, part["content"]), strict=True):
+                header, end = find_header(raw, magic)
+                if header is None:
+                    out.append((p, *[None] * 10))
                     continue
-                end = header_end(bytes(raw), start)
-                header = json.loads(bytes(raw)[start:end])
-                for f in header.get("files", []):
-                    body = bytes(raw)[end + f["offset"] : end + f["offset"] + f["size"]]
-                    out.append((p, header.get("license"), f["name"], f["size"], f["sha256"], hashlib.sha256(body).hexdigest() == f["sha256"]))
-            yield pd.DataFrame(out, columns=["path", "license", "file", "size", "sha256", "ok"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, license string, file string, size long, sha256 string, ok boolean")
+                size, digest = header.get("total_payload_size"), header.get("payload_sha256")
+                whole = None if digest is None else hashlib.sha256(raw[end : end + size] if size is not None else raw[end:-64]).hexdigest() == digest
+                about = (p, header.get("bundle_version"), header.get("license"), header.get("signing_public_key"), header.get("signing_pub_key_b64"), whole)
+                for f in header["files"]:
+                    body = raw[end + f["offset"] : end + f["offset"] + f["size"]]
+                    kind = "json" if f["name"].endswith(".json") else "binary" if f["name"].endswith((".onnx", ".bin")) else "text"
+                    out.append((*about, f["name"], kind, f["size"], f["sha256"], hashlib.sha256(body).hexdigest() == f["sha256"]))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in BUNDLE_FILE.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, BUNDLE_FILE)
+
+
+def find_header(raw: bytes, magic: str | None = None) -> tuple[dict | None, int]:
+    """The header of a bundle and where it ends."""
+    last = len(raw) if magic is None else raw.find(magic.encode())
+    start = raw.find(b"{")
+    while 0 <= start < last:
+        try:
+            end = header_end(raw, start)
+            header = json.loads(raw[start:end])
+            if isinstance(header.get("files"), list) and (magic is None or header.get("magic") == magic):
+                return header, end
+        except ValueError:  # a brace that begins no JSON
+            pass
+        start = raw.find(b"{", start + 1)
+    return None, 0
 
 
 def header_end(raw: bytes, start: int) -> int:

@@ -148,3 +148,32 @@ def test_queue_event_extras(spark):
     row = spark.createDataFrame([(1, "h", "c", None, None, None, None, "", "p", None, 0.5, 0)], "timestamp long, domain_hash string, category string, severity string, user_action string, model_version string, app_version string, attack_keywords_hash string, attack_pattern_id string, bundle_signature string, model_consensus double, similar_attack_count_30d int")
     got = events.queue_event(row).first()
     assert (got.severity, got.user_action, got.attack_keywords_hash, got.attack_pattern_id, got.model_consensus, got.similar_attack_count_30d) == ("info", "detect", None, "p", 0.5, None)
+
+
+def test_bundles(spark, tmp_path):
+    import hashlib
+
+    files = {"a.json": b"{}", "m.onnx": b"\x00{\x01", "v.txt": b"words"}
+    listed, payload = [], b""
+    for name, body in files.items():
+        listed.append({"name": name, "size": len(body), "sha256": hashlib.sha256(body).hexdigest(), "offset": len(payload)})
+        payload += body
+    header = {"files": listed, "license": "MIT", "magic": "M1", "note": 'a "}" in it', "payload_sha256": hashlib.sha256(payload).hexdigest(), "signing_public_key": "AB" * 32, "total_payload_size": len(payload)}
+    (tmp_path / "good").write_bytes(b"\x7f{ no json }" + json.dumps(header).encode() + payload + b"s" * 64)
+    (tmp_path / "bad").write_bytes(json.dumps(header).encode() + payload[:-1] + b"?" + b"s" * 64)
+    (tmp_path / "none").write_bytes(b"{}")
+    got = {(os.path.basename(r.path), r.file): r for r in corpora.read_bundles(spark, str(tmp_path), "M1").collect()}
+    assert [got["good", f].kind for f in files] == ["json", "binary", "text"] and all(got["good", f].ok and got["good", f].payload_ok for f in files)
+    assert not got["bad", "v.txt"].ok and got["bad", "a.json"].ok and not got["bad", "a.json"].payload_ok and got["none", None].ok is None
+    ring = spark.createDataFrame([("k", "q" * 42 + "s=")], "key_id string, b64 string")
+    keyed = registry.signing_keys(corpora.read_bundles(spark, str(tmp_path), "M1"), ring)
+    assert {r.key_id for r in keyed.collect()} <= {"k", None}
+    assert corpora.read_bundles(spark, str(tmp_path), "other").filter("file is not null").count() == 0
+
+
+def test_least_chars(spark):
+    df = spark.createDataFrame([("a@b.cc",), ("a@",), (None,)], "text string")
+    for engine in ("arrow", "expressions"):
+        rules = R.by_name(R.catalog(), "email_v1")
+        assert [len(r.findings) for r in detect.detect(df, rules=rules, engine=engine, least_chars=3).collect()] == [1, 0, 0]
+        assert [len(r.findings) for r in detect.detect(df, rules=rules, engine=engine, least_chars=7).collect()] == [0, 0, 0]
