@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_field
+from .common import releasing, table, with_field
 
 MEMO_PIECES = 400_000
 STEP_BYTES = 400_000
@@ -78,8 +78,7 @@ with recursive step(word, pos, tok, nxt, turn) as (
 select word, pos, tok, nxt, top from step join (select word, max(turn) as top from step group by word) using (word) where turn = top order by word, pos
 """
 
-# One thread: what is sorted arrives in order.
-_DECODE = "select doc, string_agg(bytes, '') as text from (select doc, bytes from tokens order by doc, pos) group by doc"
+_DECODE = "select doc, string_agg(bytes, '' order by pos) as text from tokens group by doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -166,9 +165,19 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> pa.ListArray:
         if len(self.memo) > MEMO_PIECES + len(self.whole):
             self.memo = dict(self.whole)
-        cut = [self.pattern.findall(t) for t in texts]
-        self._learn(list(set().union(*cut).difference(self.memo)))
-        ids = [b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut]
+        get, ids = self.memo.__getitem__, []
+        new: dict[int, list[str]] = {}
+        for text in texts:
+            pieces = self.pattern.findall(text)
+            try:
+                ids.append(b"".join(map(get, pieces)))
+            except KeyError:
+                new[len(ids)] = pieces
+                ids.append(b"")
+        if new:
+            self._learn(list(set().union(*new.values()).difference(self.memo)))
+            for k, pieces in new.items():
+                ids[k] = b"".join(map(get, pieces))
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
@@ -201,7 +210,11 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """``df`` and a column of token ids (array of int; a null or empty text has none). ``out_col`` replaces a column of that name."""
+    """``df`` and a column of token ids (array of int; a null or empty text has none).
+
+    Repeated rows each get their own; an empty table stays empty. Texts and pieces of any length are encoded whole, in
+    bounded memory. A column named ``out_col`` is replaced, all others stay, whatever their names.
+    """
     path, pattern = tokenizer or default_tokenizer()
     df = df.drop(out_col)
     at = df.columns.index(text_col)
@@ -213,11 +226,12 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenize
                 part = batch.slice(k, MAX_IDS_ROWS)
                 yield _with_column(part, out_col, bpe.encode([t or "" for t in part.column(at).to_pylist()]))
 
-    return df.mapInArrow(rows, with_field(df, out_col, "array<int>"))
+    return df.mapInArrow(releasing(rows), with_field(df, out_col, "array<int>"))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """``df`` and a binary column of the decoded bytes (null or empty ids: empty)."""
+    """``df`` and a binary column of the decoded bytes (null or empty ids: empty; an id outside the vocabulary is an error).
+    Rows, repeats, empty tables and other columns are treated as in ``encode``."""
     path, _ = tokenizer or default_tokenizer()
     df = df.drop(out_col)
     at = df.columns.index(ids_col)
@@ -231,11 +245,27 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokeni
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))), pa.int32()), lists.flatten())
                 yield _with_column(part, out_col, pa.array(bpe.decode(flat), pa.binary()))
 
-    return df.mapInArrow(rows, with_field(df, out_col, "binary"))
+    return df.mapInArrow(releasing(rows), with_field(df, out_col, "binary"))
+
+
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """``decode(encode(df))`` in one pass: the ids go from the encoder to the decoder of the same task."""
+    path, pattern = tokenizer or default_tokenizer()
+    df = df.drop(ids_col, out_col)
+    at = df.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe(path, pattern)
+        for batch in batches:
+            for k in range(0, len(batch), MAX_IDS_ROWS):
+                part = batch.slice(k, MAX_IDS_ROWS)
+                ids = bpe.encode([t or "" for t in part.column(at).to_pylist()])
+                yield _with_column(_with_column(part, ids_col, ids), out_col, pa.array(bpe.decode(ids), pa.binary()))
+
+    return df.mapInArrow(releasing(rows), with_field(df, ids_col, "array<int>") + f", `{out_col}` binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs).drop("text")
-    done = decode(ids)
+    """Number and digest of every document's ids, and the digest of the bytes that they decode to."""
+    done = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,11 +7,14 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+RELEASE_SECONDS = 2
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or where that is unset in local mode a folder of our own."""
@@ -39,15 +42,19 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing will read again."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table that ``materialize`` wrote and nothing will read again; of another DataFrame there is nothing to delete."""
+    scratch = df.__dict__.get("scratch")  # not getattr: a column may have that name
+    if scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
+    """Let the driver notice which shuffles nothing refers to any more, and give executors the time to delete their files, so
+    that these do not lie beside what is written next."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(RELEASE_SECONDS)
 
 
 def release_memory() -> None:

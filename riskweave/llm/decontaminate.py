@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, releasing, table
 from .license_scan import folded
 
 K1, B = 1.2, 0.75
@@ -222,7 +222,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_co
     """(columns of ``docs`` but its text, item_id, bm25_ratio, question_share, answer_share), a row for each leak.
 
     ``bm25_ratio``: the passage's score over the item's for its own text. Null and empty texts and items leak nothing;
-    repeated rows of documents or items give repeated rows. Columns of ``docs`` that clash with the result's are dropped.
+    repeated rows of documents or items give repeated rows; an empty table of either gives an empty result. Texts of any
+    length are searched whole. Columns of ``docs`` that clash with the result's are dropped.
     """
     kept = [c for c in docs.columns if c not in (text_col, "item_id", "bm25_ratio", "question_share", "answer_share")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(fresh("text", docs)))
@@ -242,10 +243,11 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_co
                         extra = [pa.array([index.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[k] * (ratio if k == 2 else 1) for f in found], pa.float64()) for k in (2, 3, 4))]
                         yield pa.RecordBatch.from_arrays([*(c.take(which) for c in part.columns[: len(kept)]), *extra], names=[*kept, "item_id", "bm25_ratio", "question_share", "answer_share"])
 
-        found = docs.mapInArrow(rows, schema)
+        found = docs.mapInArrow(releasing(rows), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair in which the item's question and answer stand in the document."""
     return leaks(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

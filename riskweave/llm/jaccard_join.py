@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_memory, release_shuffles, table
+from .common import discard, materialize, release_shuffles, releasing, table
 
 WORDS_MEMO = 200_000
 CHUNK_TOKENS = 1_500_000
@@ -50,6 +51,7 @@ CHECK_COST = 20.0
 ROUNDS = 3
 LIST_BLOCK = 1_000
 RANGE_TOKENS = 2_000_000
+ROWS_PER_TASK = 50_000
 PAIRS_PER_ROW = 8
 _UNSETTLED = re.compile(r"Exchange|\b(?:rand|randn|uuid|shuffle)\(|Sample|TableCache|InMemoryTableScan")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -183,7 +185,6 @@ class Chunk:
 
 def _token_lists(shingle_size: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         shingle, chunk, nth = Shingler(shingle_size), Chunk(), 0
         context = TaskContext.get()
         partition = context.partitionId() if context else 0
@@ -200,10 +201,8 @@ def _token_lists(shingle_size: int, buckets: int):
                     chunk, nth = Chunk(), nth + 1
         if chunk.ids:
             yield flush()
-        del chunk, shingle
-        release_memory()
 
-    return rows
+    return releasing(rows)
 
 
 def _expand(counts: bytes, n: int) -> np.ndarray:
@@ -315,20 +314,29 @@ def _prefixes(percent: int):
 # ---------------------------------------------------------------- components
 
 
-def components(spark: SparkSession, links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most so many small rows in as many partitions as these need."""
+    return df.coalesce(rows // ROWS_PER_TASK + 1)
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, comp): the least node that ``links`` (a, b) reach, for every node of a link. Lineage is cut each round."""
+    n = 2 * links.count()
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(spark, both, "links")
-    labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    both = materialize(spark, _few(both, n), "links")
+    labels = materialize(spark, _few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), n), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         near = labels.join(heard, "node").select("node", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         step = near.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp"))
-        step = materialize(spark, step, "labels")
+        step = materialize(spark, _few(step, n), "labels")
         changed = step.filter(F.col("was") != F.col("comp")).limit(1).count()
+        discard(spark, labels)
         labels = step.select("node", "comp")
+        labels.scratch = step.scratch
         if not changed:
+            discard(spark, both)
             return labels
 
 
@@ -353,14 +361,15 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
     rows = nodes.select("node", "size", F.size("tokens").alias("m"), F.explode(prefix).alias("token"))
     alone = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     rows = materialize(spark, rows.join(alone, "token", "left_semi").withColumn("comp", F.col("node")), "prefix")
-    total = rows.count()
-    links = found = comps = None
+    total = rows.count()  # and of later rounds at most
+    found: list[DataFrame] = []  # links, a table for each round
+    comps = None
 
     def fold(pairs: DataFrame) -> DataFrame:
-        nonlocal links, found
-        found = materialize(spark, _verified(pairs, nodes, percent), "found")
-        links = found if links is None else links.union(found)
-        return components(spark, links)
+        if comps is not None:
+            discard(spark, comps)
+        found.append(materialize(spark, _verified(pairs, nodes, percent), "links-found"))
+        return components(spark, reduce(DataFrame.union, found))
 
     words = [F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64)]
 
@@ -376,9 +385,10 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
     for r in range(rounds + 1):
         per_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp", "size", "m")).alias("pivot"))
         lists = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("pivot").alias("pivot"))
-        lists = materialize(spark, lists.filter("comps > 1"), "lists")
+        lists = materialize(spark, _few(lists.filter("comps > 1"), total), "lists")
         left = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
         if left == 0:
+            discard(spark, lists)
             break
         if (r and left <= PAIRS_PER_ROW * total) or r == rounds:
             # a list's members by blocks; each pair of blocks is a group (one block, as nearly all lists have: one group)
@@ -401,13 +411,20 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
             pairs = x.join(y, same & wanted).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
             pairs = materialize(spark, pairs, "pairs")
             discard(spark, open_)  # before the sets are brought to the pairs
+            discard(spark, lists)
             comps = fold(pairs)
+            discard(spark, pairs)
             break
-        rows = rows.join(lists.select("token", "pivot"), "token")
-        stars = rows.select("*", *(F.col(f"pivot.{c}").alias(f"p{c}") for c in ("node", "comp", "size", "m"))).filter((F.col("comp") != F.col("pcomp")) & possible("", "p"))
+        starred = rows.join(lists.select("token", "pivot"), "token")
+        stars = starred.select("*", *(F.col(f"pivot.{c}").alias(f"p{c}") for c in ("node", "comp", "size", "m"))).filter((F.col("comp") != F.col("pcomp")) & possible("", "p"))
         comps = fold(stars.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct())
-        rows = rows.drop("pivot", "comp").join(comps, "node", "left").select("node", "size", "m", "token", F.coalesce("comp", "node").alias("comp"))
-        rows = materialize(spark, rows, "prefix")
+        left_open = starred.drop("pivot", "comp").join(comps, "node", "left").select("node", "size", "m", "token", F.coalesce("comp", "node").alias("comp"))
+        left_open = materialize(spark, _few(left_open, total), "prefix")
+        discard(spark, rows)
+        discard(spark, lists)
+        rows = left_open
+    for table_ in (rows, *found):
+        discard(spark, table_)
     return comps if comps is not None else spark.createDataFrame([], "node binary, comp binary")
 
 
@@ -436,10 +453,13 @@ def _groups(spark: SparkSession, docs: DataFrame, shingle: int, percent: int, bu
     members = active.select("sig", "node", mutual.alias("mutual")).distinct().join(comps, "node", "left")
     members = members.select("sig", F.when(F.col("comp").isNotNull(), F.col("comp")).when(F.col("mutual"), F.col("node")).alias("comp")).filter("comp is not null")
     members = materialize(spark, members, "members")
+    discard(spark, nodes)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     classes = base.filter("n_shingles > 0").groupBy("sig").agg(F.min(first).alias("least"), F.count("*").alias("n"))
     named = classes.join(members, "sig", "left").filter("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "sig"))
-    least = named.groupBy("comp").agg(F.min("least").alias("least"))
+    # tables of their own, so that the classes of a large component can be dealt to several tasks in the join
+    named = materialize(spark, named.select("sig", "comp", "least"), "classes")
+    least = materialize(spark, named.groupBy("comp").agg(F.min("least").alias("least")), "least")
     return base, named.drop("least").join(least, "comp").select("sig", "least")
 
 

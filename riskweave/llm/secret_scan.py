@@ -232,7 +232,8 @@ SPANS = "array<struct<kind: string, start: int, end: int, cost: double>>"
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", least_cost: float = LEAST_COST) -> DataFrame:
     """``docs`` and an array of its spans (code points, end exclusive); none for a null or empty text.
 
-    Repeated rows each get their own. A column named ``out_col`` is replaced.
+    Repeated rows each get their own; an empty table stays empty. A text of any length is scanned whole, in time that grows
+    with its length and its number of spans. A column named ``out_col`` is replaced, all others stay, whatever their names.
     """
     docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
@@ -247,7 +248,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "sec
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", least_cost: float = LEAST_COST, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one mark. Nulls stay null."""
+    """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one mark. Nulls stay null, empty texts
+    empty, repeated rows alike, other columns as they are; an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
@@ -274,6 +276,7 @@ def digest(spans: list[tuple]) -> str:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans, their digest, and all spans of every document; zeros and empty lists for a null or empty text."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     is_base = lambda s: s["kind"] != "guess"
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -410,6 +410,13 @@ def test_byte_bpe(spark):
     assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=str) == sorted(((i, public.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
 
 
+def test_byte_bpe_round_trip(spark):
+    docs = spark.createDataFrame([(*r, 1, 2) for r in [*corpus(), (77, "é😀 " * 30)]], DOCS + ", ids int, decoded int")
+    one = sorted((r.doc_id or -1, r.ids, bytes(r.decoded)) for r in byte_bpe.round_trip(docs).collect())
+    assert one == sorted((r.doc_id or -1, r.ids, bytes(r.decoded)) for r in byte_bpe.decode(byte_bpe.encode(docs)).collect())
+    assert byte_bpe.round_trip(docs.limit(0)).count() == 0
+
+
 def test_byte_bpe_long_pieces(monkeypatch):
     import tiktoken
 
