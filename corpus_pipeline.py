@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
-from riskweave.llm.common import fresh, materialize, table
+from riskweave.llm.common import discard, fresh, materialize, table
 
 #: A document whose quality score is below this goes.
 LEAST_QUALITY = 0.3
@@ -50,7 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text. A null or empty text has no ids; repeated rows and
     those without an id each have their own."""
-    done = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    done = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     exact = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
@@ -70,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over ``documents``: every stage's result is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, before)  # of the tables between the stages only the last is kept
     return docs
