@@ -20,6 +20,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Vocabulary:
+    """What a file of ranks says. It never changes, so a Python worker keeps the last one (some 30 MB for 50,000 tokens)."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        bytes_of: list[str | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            bytes_of[rank] = token.decode("latin-1")
+        self.bytes_of = pa.array(bytes_of, pa.string())
+        # pieces by their UTF-8 text; most ids end whole words
+        self.whole: dict[str, bytes] = {}
+        for token, rank in ranks.items():
+            try:
+                self.whole[token.decode("utf-8")] = rank.to_bytes(4, "little")
+            except UnicodeDecodeError:
+                pass
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = [((ranks[t[:k]] << 32) | ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        keys, ranked = (np.array(x) for x in zip(*pairs, strict=True))
+        self.merges = pa.table({"pair": keys.astype(np.int64), "rank": ranked.astype(np.int32)})
+
+
+vocabulary = lru_cache(1)(Vocabulary)
+
+
 class ByteBpe:
     """Encoder and decoder of one task. ``path``: a file of base64 token and rank a line; ``pattern``: what cuts texts, or
     None if it only decodes."""
@@ -96,27 +122,13 @@ class ByteBpe:
 
         # DuckDB makes the folder when it spills and takes it away with the database
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{uuid.uuid4().hex}")})
-        self.ranks, self.memo = load_ranks(path), {}
-        bytes_of: list[str | None] = [None] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            bytes_of[rank] = token.decode("latin-1")
-        self.bytes_of = pa.array(bytes_of, pa.string())
+        known = vocabulary(path)
+        self.bytes_of, self.byte_id, self.whole = known.bytes_of, known.byte_id, known.whole
         if pattern is None:
-            self.ranks = {}
             return
         self.pattern = regex.compile(pattern)
-        # pieces by their UTF-8 text; most ids end whole words
-        for token, rank in self.ranks.items():
-            try:
-                self.memo[token.decode("utf-8")] = np.array([rank], "<i4").tobytes()
-            except UnicodeDecodeError:
-                pass
-        self.whole = dict(self.memo)
-        self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [((self.ranks[t[:k]] << 32) | self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        keys, ranks = (np.array(x) for x in zip(*pairs, strict=True))
-        merges = pa.table({"pair": keys.astype(np.int64), "rank": ranks.astype(np.int32)})  # noqa: F841
-        self.db.register("m", merges).execute("create table merges as select * from m")
+        self.memo = dict(self.whole)
+        self.db.register("m", known.merges).execute("create table merges as select * from m")
 
     def _learn(self, pieces: list[str]) -> None:
         """Add the ids of pieces that are not remembered, some at a time."""
