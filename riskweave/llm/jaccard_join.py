@@ -15,12 +15,14 @@ Shingles are 64-bit hashes. The join runs in these steps, none of which gathers
 4. *Links.* Documents with equal sets are one class from the start, and so are documents with as many shingles and the
    same shared ones: what they share with any document is the same, so they have the same links. A pair's overlap is at
    most the shared shingles of either, less those whose bit (of 512) the other has not set, which decides most pairs
-   without a look at the sets. Rounds come first in which each list compares its members with one pivot (linear,
+   without a look at the sets. A round comes first in which each list compares its members with one pivot (linear,
    whatever its length); verified links are folded into components, and only lists that still span several components go
-   on. When the pairs left are few beside the prefixes, or the rounds are used up, all pairs left across components are
+   on. When the pairs left are few beside the prefixes, or the round is over, all pairs left across components are
    enumerated, each once (at the first shared token of its prefixes), held to the shared-prefix count and verified. A list
    of more than ``LIST_BLOCK`` members is enumerated by pairs of blocks, each a group of its own. Pairs inside one component
-   need no check: their connection is known. So components are exact.
+   need no check: their connection is known. So components are exact. Where many pairs are left, a share of the members
+   meets all others first, then ``GROWTH`` times as many, until all have: the links of a share join most members of a large
+   group, so those found after it grow with the group and not with its square. Only links between components are kept.
 
 A collision of 64-bit shingle hashes inside one pair of documents (about 1e-14 for a pair of 600 words) is the only
 source of error.
@@ -30,7 +32,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,11 +49,13 @@ CHUNK_DOCS = 60_000
 INLINE = 64
 MAX_MATCHES = 16
 CHECK_COST = 20.0
-ROUNDS = 3
+ROUNDS = 1
 LIST_BLOCK = 1_000
 RANGE_TOKENS = 2_000_000
 ROWS_PER_TASK = 50_000
 PAIRS_PER_ROW = 8
+SLICES = 1 << 20
+GROWTH = 8
 _UNSETTLED = re.compile(r"Exchange|\b(?:rand|randn|uuid|shuffle)\(|Sample|TableCache|InMemoryTableScan")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -340,19 +343,36 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(spark: SparkSession, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp), or none yet, after ``links`` (a, b) between its components; a node that it lacks is one by itself.
+    Only the components that are linked anew are labelled again."""
+    if comps is not None and not links.limit(1).count():
+        return comps
+    joined = components(spark, links)
+    if comps is None:
+        return joined
+    farther = joined.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    known = comps.join(farther, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+    both = known.unionByName(joined.join(comps, "node", "left_anti").select("node", "comp"))
+    out = materialize(spark, _few(both, comps.count() + joined.count()), "labels")
+    discard(spark, comps)
+    discard(spark, joined)
+    return out
+
+
 def _reach(na, nb, overlap, percent: int):
     return overlap * 100 >= (na + nb - overlap) * percent
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets reach the threshold. Their prefixes for the smaller number of matches must share
-    that many tokens first; then the overlap is counted on all shared tokens."""
+    """Of the pairs (a, b, and more columns), those whose sets reach the threshold. Their prefixes for the smaller number of
+    matches must share that many tokens first; then the overlap is counted on all shared tokens."""
     a, b = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", "matches", "base", "tokens"))) for x in "ab")
     k = F.least("a_matches", "b_matches")
     common = lambda x, y: F.size(F.array_intersect(x, y))
     head = lambda x: F.slice(f"{x}_tokens", F.lit(1), F.col(f"{x}_base") + k - 1)
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").filter(common(head("a"), head("b")) >= k)
-    return both.filter(_reach(F.col("a_size"), F.col("b_size"), common("a_tokens", "b_tokens"), percent)).select("a", "b")
+    both = pairs.join(a, "a").join(b, "b").filter(common(head("a"), head("b")) >= k)
+    return both.filter(_reach(F.col("a_size"), F.col("b_size"), common("a_tokens", "b_tokens"), percent)).select(pairs.columns)
 
 
 def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
@@ -362,14 +382,15 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
     alone = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     rows = materialize(spark, rows.join(alone, "token", "left_semi").withColumn("comp", F.col("node")), "prefix")
     total = rows.count()  # and of later rounds at most
-    found: list[DataFrame] = []  # links, a table for each round
     comps = None
 
     def fold(pairs: DataFrame) -> DataFrame:
-        if comps is not None:
-            discard(spark, comps)
-        found.append(materialize(spark, _verified(pairs, nodes, percent), "links-found"))
-        return components(spark, reduce(DataFrame.union, found))
+        """``comps`` after the links among ``pairs`` (a, b, and their components a_comp, b_comp)."""
+        linked = _verified(pairs, nodes, percent).select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b")).distinct()
+        linked = materialize(spark, linked, "links-found")
+        out = _merged(spark, comps, linked)
+        discard(spark, linked)
+        return out
 
     words = [F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64)]
 
@@ -382,7 +403,8 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
         size, m = (lambda s: F.col(f"{s}size")), (lambda s: F.col(f"{s}m"))
         return _reach(size(x), size(y), F.least(m(x), m(y)), percent)
 
-    for r in range(rounds + 1):
+    r, done = 0, 0  # done: members with a slice below it have met all others of their lists
+    while True:
         per_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp", "size", "m")).alias("pivot"))
         lists = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("pivot").alias("pivot"))
         lists = materialize(spark, _few(lists.filter("comps > 1"), total), "lists")
@@ -390,41 +412,51 @@ def link_components(spark: SparkSession, nodes: DataFrame, percent: int, rounds:
         if left == 0:
             discard(spark, lists)
             break
-        if (r and left <= PAIRS_PER_ROW * total) or r == rounds:
+        few = left <= PAIRS_PER_ROW * total
+        if (r and few) or r >= rounds:
+            upto = SLICES if few else max(GROWTH * done, int(SLICES * PAIRS_PER_ROW * total / left), 1)
+            upto = SLICES if 3 * upto > SLICES else upto
             # a list's members by blocks; each pair of blocks is a group (one block, as nearly all lists have: one group)
+            block = lambda of: F.floor(of * F.col("blocks") / SLICES).cast("int")
             blocks = lists.select("token", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
-            open_ = rows.join(blocks, "token").select("token", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+            open_ = rows.join(blocks, "token").select("token", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.lit(SLICES)).alias("slice"))
+            open_ = open_.withColumn("block", block(F.col("slice")))
             open_ = open_.join(nodes.select("node", "size", F.size("tokens").alias("m"), "matches", "base", prefix.alias("prefix"), *words), "node")
             place = F.array_position("prefix", F.col("token")).cast("int")
             before, after = F.slice("prefix", F.lit(1), place - 1), F.slice("prefix", place, F.size("prefix"))
             bits = [f"b{k}" for k in range(BITS // 64)]
-            open_ = materialize(spark, open_.select("token", "blocks", "block", "node", "comp", "size", "m", "matches", "base", before.alias("before"), F.when(F.col("matches") > 1, after).alias("rest"), *bits), "open")
-            own = ("block", "node", "comp", "size", "m", "matches", "base", "before", "rest", *bits)
-            x = open_.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"x{c}") for c in own))
-            y = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"y{c}") for c in own))
+            open_ = materialize(spark, open_.select("token", "blocks", "slice", "block", "node", "comp", "size", "m", "matches", "base", before.alias("before"), F.when(F.col("matches") > 1, after).alias("rest"), *bits), "open")
+            own = ("slice", "node", "comp", "size", "m", "matches", "base", "before", "rest", *bits)
+            met = open_.filter(F.col("slice").between(done, upto - 1))
+            x = met.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"x{c}") for c in own))
+            first, last = block(F.lit(done)), F.least(F.col("block"), block(F.lit(upto - 1)))
+            y = open_.filter(first <= F.col("block")).select("token", F.explode(F.sequence(first, last)).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"y{c}") for c in own))
             k = F.least("xmatches", "ymatches")
             head = lambda s: F.slice(F.col(f"{s}rest"), F.lit(1), F.greatest(F.lit(0), F.col(f"{s}base") + k - 1 - F.size(f"{s}before")))
             enough = F.when(k == 1, True).otherwise(F.size(F.array_intersect(head("x"), head("y"))) >= k)
-            once = (F.col("xblock") != F.col("yblock")) | (F.col("xnode") < F.col("ynode"))
+            once = F.struct("xslice", "xnode") < F.struct("yslice", "ynode")  # blocks are ranges of slices
             wanted = once & (F.col("xcomp") != F.col("ycomp")) & possible("x", "y") & _reach(F.col("xsize"), F.col("ysize"), less_apart("x", "y"), percent) & ~F.arrays_overlap("xbefore", "ybefore") & enough
             same = (x["token"] == y["token"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
-            pairs = x.join(y, same & wanted).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
+            pairs = x.join(y, same & wanted).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"), F.col("xcomp").alias("a_comp"), F.col("ycomp").alias("b_comp"))
             pairs = materialize(spark, pairs, "pairs")
             discard(spark, open_)  # before the sets are brought to the pairs
-            discard(spark, lists)
             comps = fold(pairs)
             discard(spark, pairs)
-            break
-        starred = rows.join(lists.select("token", "pivot"), "token")
-        stars = starred.select("*", *(F.col(f"pivot.{c}").alias(f"p{c}") for c in ("node", "comp", "size", "m"))).filter((F.col("comp") != F.col("pcomp")) & possible("", "p"))
-        comps = fold(stars.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct())
+            done = upto
+            if done == SLICES:
+                discard(spark, lists)
+                break
+            starred = rows.join(lists.select("token"), "token")
+        else:
+            starred = rows.join(lists.select("token", "pivot"), "token")
+            stars = starred.select("*", *(F.col(f"pivot.{c}").alias(f"p{c}") for c in ("node", "comp", "size", "m"))).filter((F.col("comp") != F.col("pcomp")) & possible("", "p"))
+            comps = fold(stars.select(F.col("node").alias("a"), F.col("pnode").alias("b"), F.col("comp").alias("a_comp"), F.col("pcomp").alias("b_comp")).distinct())
         left_open = starred.drop("pivot", "comp").join(comps, "node", "left").select("node", "size", "m", "token", F.coalesce("comp", "node").alias("comp"))
         left_open = materialize(spark, _few(left_open, total), "prefix")
         discard(spark, rows)
         discard(spark, lists)
-        rows = left_open
-    for table_ in (rows, *found):
-        discard(spark, table_)
+        rows, r = left_open, r + 1
+    discard(spark, rows)
     return comps if comps is not None else spark.createDataFrame([], "node binary, comp binary")
 
 

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,42 @@ def test_jaccard_common_token(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 4, 85)
 
 
+def near_group(n, words, slots, edits):
+    """Copies of one text, each with unlike words at some of the slots."""
+    rnd, base, picks = random.Random(23), [f"w{k}" for k in range(words)], []
+    while len(picks) < n:
+        if (at := sorted(rnd.sample(slots, edits))) not in picks:
+            picks.append(at)
+    return [(k, " ".join(f"u{k}" if i in at else w for i, w in enumerate(base))) for k, at in enumerate(picks)]
+
+
+def test_jaccard_near_group_makes_few_links(spark, monkeypatch):
+    """Of a group in which all link, the pairs and links grow with its size and not with the square."""
+    made, whole = {}, jaccard_join.materialize
+
+    def counted(spark, df, name):
+        out = whole(spark, df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("pairs", "links-found", "links") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "link_components", partial(jaccard_join.link_components, rounds=0))
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 1)
+    rows = near_group(150, 240, range(240), 2)
+    got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert 149 <= made["pairs"] < 20 * len(rows) and made["links-found"] < 20 * len(rows) and made["links"] < 40 * len(rows)
+
+
+def test_jaccard_near_group_by_shares(spark, monkeypatch):
+    """A group in which one pair in 25 links, over several shares and blocks."""
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 1)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 16)
+    rows = near_group(120, 300, range(10, 290, 7), 4)
+    got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), shingle=5, percent=80)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 5, 80)
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 30
     rows = [(1, "http://a/%0A", big), (2, "u\nv", big), (3, None, "small"), (4, "w", "small"), (5, "x", None), (None, "y", big), (7, " z ", "\r\n\r\n" * 100)]
