@@ -7,10 +7,12 @@ blocks of neighbouring items, each with its largest impact.
 Every document is cut into passages of twice the longest item's words, one every half passage, so an item that stands in
 a document stands whole in a passage. A passage's distinct words are one query, its words in order of their largest impact.
 The pivot is the first word by which these impacts add up to the threshold: an item that reaches it holds the pivot word or
-one behind it, so only their lists are opened, and blocks in none of them are skipped. Blocks that are left are held to
-ever closer bounds: the largest impacts in them of the opened lists with all there could be of the others (WAND), the
-largest impacts in them of all words (block-max), then their items' scores. Nothing grows with passages times blocks. All
-items at or above the threshold are retrieved, no matter how many.
+one behind it, so their lists must be opened, and blocks in none of them are skipped. Lists of words before the pivot are
+opened too, unless one is more than ``MORE`` times as long as those together or its word and the ones before it add up to
+less than ``OPEN``: what the other words could add is then small, and few blocks need to have words looked up in them. Blocks
+that are left are held to ever closer bounds: the largest impacts in them of the opened lists with all there could be of the
+others (WAND), the largest impacts in them of all words (block-max), then their items' scores. Nothing grows with passages
+times blocks. All items at or above the threshold are retrieved, no matter how many.
 
 A retrieved pair is verified: the item's question (all but its last sentence) and answer (its last sentence) must each
 have their share of word triples in the passage.
@@ -28,6 +30,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ K1, B = 1.2, 0.75
 RATIO, QUESTION, ANSWER, GRAM = 0.6, 0.6, 0.5, 3
 BLOCK = 8
 LEAST = 1 - 1e-9
+BOUND = LEAST - 1e-6  # bounds are sums in another order than scores
+MORE, OPEN = 2, 0.2
 SHARD_CHARS = 8_000_000
 DOCS_AT_ONCE = 256
 MEMO = 500_000
@@ -80,18 +85,18 @@ class Bm25Index:
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
         self.longest = max(len(words_of(t)) for _, t in items)
-        self.vocabulary: dict[bytes, int] = {}
-        postings: list[list[tuple[int, float]]] = []
+        lists: dict[bytes, list[tuple[int, float]]] = {}
         for at, (_, text) in enumerate(items):
             tf = Counter(words_of(text))
             n = sum(tf.values())
             impact = {w: log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * n / mean)) for w, c in tf.items()}
             least = ratio * sum(impact.values())
             for w, x in impact.items():
-                t = self.vocabulary.setdefault(w, len(postings))
-                if t == len(postings):
-                    postings.append([])
-                postings[t].append((at, x / least))
+                lists.setdefault(w, []).append((at, x / least))
+        words = sorted(lists, key=lambda w: max(x for _, x in lists[w]))  # by their largest impact, as passages need them
+        self.vocabulary = {w: t for t, w in enumerate(words)}
+        self.words = pa.array(words, pa.large_binary())
+        postings = [lists[w] for w in words]
         self.blocks = ceil(len(items) / BLOCK)
         sizes = np.array([len(p) for p in postings])
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -102,47 +107,66 @@ class Bm25Index:
         self.key, self.key_starts = np.unique(term * self.blocks + self.item // BLOCK, return_index=True)
         self.block_max = np.maximum.reduceat(self.impact, self.key_starts)
         self.key_starts = np.append(self.key_starts, len(self.item))
+        self.block = self.key % self.blocks
         self.block_starts = np.searchsorted(self.key // self.blocks, np.arange(len(postings) + 1))
         self.list_max = np.maximum.reduceat(self.impact, self.starts[:-1])
 
     def search(self, passage: np.ndarray, term: np.ndarray, passages: int) -> list[tuple[int, int, float]]:
-        """(passage, item, score) of all at or above the threshold, from distinct (passage, word) rows by passage."""
+        """(passage, item, score) of all at or above the threshold, from distinct (passage, word) rows in ascending order."""
         most = self.list_max[term]
-        keep = np.bincount(passage, most, passages)[passage] >= LEAST
+        keep = np.bincount(passage, most, passages)[passage] >= BOUND
         passage, term, most = passage[keep], term[keep], most[keep]
         if not len(term):
             return []
-        order = np.lexsort((most, passage))
-        term, most = term[order], most[order]
         total = np.cumsum(most)
         first = np.searchsorted(passage, np.arange(passages + 1))  # of each passage: its rows
-        behind = total - np.append(0.0, total)[first[passage]] >= LEAST - 1e-6  # at the pivot or behind it
+        upto = total - np.append(0.0, total)[first[passage]]
+        behind = upto >= BOUND  # at the pivot or behind it
+        length = self.block_starts[term + 1] - self.block_starts[term]
+        must = np.bincount(passage, np.where(behind, length, 0), passages)
+        behind |= (upto >= OPEN) & (length <= MORE * must[passage])
         rest = np.bincount(passage, np.where(behind, 0.0, most), passages)
-        opened = np.where(behind, self.block_starts[term + 1] - self.block_starts[term], 0)
+        low_term = term[~behind]
+        low_first = np.searchsorted(passage[~behind], np.arange(passages + 1))
+        opened = np.where(behind, length, 0)
         out = []
         for a, b in _runs(opened, first):
             rows = a + np.flatnonzero(behind[a:b])
             at = _places(self.block_starts[term[rows]], opened[rows])
-            cell, where = np.unique(np.repeat(passage[rows], opened[rows]) * self.blocks + self.key[at] % self.blocks, return_inverse=True)
-            cell = cell[np.bincount(where, self.block_max[at]) + rest[cell // self.blocks] >= LEAST]
-            n = first[cell // self.blocks + 1] - first[cell // self.blocks]
+            least = int(passage[a])
+            cell = np.repeat((passage[rows] - least) * self.blocks, opened[rows]) + self.block[at]
+            width = (int(passage[b - 1]) - least + 1) * self.blocks
+            if width <= len(at):  # most blocks are in an opened list
+                bound = np.bincount(cell, self.block_max[at], width)
+                cell = np.flatnonzero(bound)
+                bound = bound[cell]
+            else:
+                cell, where = np.unique(cell, return_inverse=True)
+                bound = np.bincount(where, self.block_max[at])
+            p = cell // self.blocks + least
+            live = bound + rest[p] >= BOUND
+            bound, p, block = bound[live], p[live], cell[live] % self.blocks
+            n = first[p + 1] - first[p]
             for c, d in _runs(n, np.arange(len(n) + 1)):
-                out += self._score(cell[c:d], n[c:d], term[_places(first[cell[c:d] // self.blocks], n[c:d])])
+                low = low_first[p[c:d] + 1] - low_first[p[c:d]]
+                own, at = self._look_up(low_term[_places(low_first[p[c:d]], low)], block[c:d], low)
+                k = c + np.flatnonzero(bound[c:d] + np.bincount(own, self.block_max[at], d - c) >= BOUND)
+                out += self._score(p[k], block[k], *self._look_up(term[_places(first[p[k]], n[k])], block[k], n[k]))
         return out
 
-    def _score(self, cell: np.ndarray, n: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
-        """Of blocks with ``n`` words each to look up."""
-        p, block = np.divmod(cell, self.blocks)
-        own = np.repeat(np.arange(len(cell)), n)
+    def _look_up(self, term: np.ndarray, block: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which block, place in the keys) of the words that stand in their block; each block has ``n`` words."""
+        own = np.repeat(np.arange(len(block)), n)
         key = term * self.blocks + block[own]
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         there = self.key[at] == key
-        own, at = own[there], at[there]
-        live = (np.bincount(own, self.block_max[at], len(cell)) >= LEAST)[own]
-        own, at = own[live], at[live]
+        return own[there], at[there]
+
+    def _score(self, p: np.ndarray, block: np.ndarray, own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """Of all items of blocks whose words stand at ``at`` of the keys."""
         m = self.key_starts[at + 1] - self.key_starts[at]
         at = _places(self.key_starts[at], m)
-        scores = np.bincount(np.repeat(own, m) * BLOCK + self.item[at] % BLOCK, self.impact[at], len(cell) * BLOCK)
+        scores = np.bincount(np.repeat(own, m) * BLOCK + self.item[at] % BLOCK, self.impact[at], len(p) * BLOCK)
         return [(int(p[k // BLOCK]), int(block[k // BLOCK] * BLOCK + k % BLOCK), float(scores[k])) for k in np.flatnonzero(scores >= LEAST).tolist()]
 
 
@@ -162,33 +186,51 @@ def _runs(n: np.ndarray, first: np.ndarray, most: int = 2_000_000) -> Iterator[t
         a = b
 
 
+def _cut(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one array, and how many each text has; as ``words_of`` would cut them."""
+    parts = [folded(t) for t in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    inside = data > 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # starts and ends in turn
+    starts = edges[::2]
+    offsets = np.append(0, np.cumsum(edges[1::2] - starts))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    key = np.sort(key)
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+
+
 def _leaks(texts: list[str | None], index: Bm25Index, question: float, answer: float) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question share, answer share) of every verified pair; of several passages the best."""
     half = max(1, index.longest)
-    cut = [words_of(t) for t in texts]
-    get = index.vocabulary.get
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
-    term = np.fromiter((get(w, -1) for words in cut for w in words), np.int64, int(counts.sum()))
+    words, counts = _cut(texts)
+    text_starts = np.cumsum(counts) - counts
+    term = pc.index_in(words, value_set=index.words).fill_null(-1).to_numpy()
     pieces = np.maximum(1, -(-counts // half))  # half passages of each text
     piece_starts = np.cumsum(pieces) - pieces
-    text = np.repeat(np.arange(len(cut)), counts)
-    place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
-    known = term >= 0
-    piece, term = piece_starts[text[known]] + place[known] // half, term[known]
-    owner = np.repeat(np.arange(len(cut)), pieces)
+    known = np.flatnonzero(term >= 0)
+    owner = np.repeat(np.arange(len(texts)), pieces)
+    begins = text_starts[owner] + (np.arange(len(owner)) - piece_starts[owner]) * half  # of each half passage
+    sizes = np.minimum(begins + half, (text_starts + counts)[owner]) - begins
+    piece, term = np.repeat(np.arange(len(owner)), sizes)[known], term[known].astype(np.int64)
     total, v = int(pieces.sum()), len(index.vocabulary)
     # a passage is a half passage and the next one of the same text
     back = (piece > 0) & (owner[np.maximum(piece - 1, 0)] == owner[piece])
-    key = np.unique(np.concatenate((piece * v + term, (piece[back] - 1) * v + term[back])))
+    key = piece * v + term
+    key = _distinct(np.concatenate((key, key[back] - v)))
     best: dict[tuple[int, int], tuple] = {}
     memo: dict[int, tuple] = {}
     for passage, item, score in index.search(key // v, key % v, total):
         k = int(owner[passage])
         if passage not in memo:
-            a = (passage - int(piece_starts[k])) * half
-            memo = {passage: (cut[k][a : a + 2 * half], {})}
-        words, there = memo[passage]
-        q, a = (share(part, there, words) for part in index.parts[item])
+            a, b = int(begins[passage]), int(text_starts[k] + counts[k])
+            memo = {passage: (words.slice(a, min(2 * half, b - a)).to_pylist(), {})}
+        own, there = memo[passage]
+        q, a = (share(part, there, own) for part in index.parts[item])
         if q >= question and a >= answer:
             best[k, item] = max(best.get((k, item), (0.0, 0.0, 0.0)), (q, a, score))
     return [(k, item, s, q, a) for (k, item), (q, a, s) in sorted(best.items())]

@@ -436,6 +436,55 @@ def test_decontamination(spark):
     assert found == {(int(p), int(i)) for p, i in zip(*np.nonzero(score >= 1 - 1e-9), strict=True)}
 
 
+def uneven(rnd, words, n):
+    """Of the words, few are common and most are rare."""
+    return " ".join(words[int(len(words) * rnd.random() ** 3)] for _ in range(n))
+
+
+def benchmark_index(rnd, items, words, ratio):
+    texts = [uneven(rnd, words, rnd.randrange(20, 45)) + ". " + uneven(rnd, words, 12) + "." for _ in range(items)]
+    cut = [decontaminate.words_of(t) for t in texts]
+    df = Counter(w for c in cut for w in set(c))
+    return texts, decontaminate.Bm25Index([*enumerate(texts)], items, df, sum(map(len, cut)) / items, ratio)
+
+
+def test_decontamination_against_all_pairs():
+    """Of texts together and one by one, every pair is found that scores of all passages and items give, with its shares."""
+    rnd = random.Random(23)
+    words = [f"{w}{k}" for k in range(40) for w in WORDS]
+    items, index = benchmark_index(rnd, 150, words, 0.4)
+    texts = ["", None, " \n", "é😀 " * 30, *(" ".join([uneven(rnd, words, 150), *items[k].split()[: 60 - k], uneven(rnd, words, rnd.choice((0, 90)))]) for k in range(30)), " ".join(items[30:50])]
+    want = {}
+    for k, text in enumerate(texts):
+        own, half = decontaminate.words_of(text), index.longest
+        for a in range(0, max(1, len(own)), half):
+            passage = own[a : a + 2 * half]
+            score = np.zeros(len(items))
+            for w in set(passage) & set(index.vocabulary):
+                at = slice(*index.starts[index.vocabulary[w] :][:2])
+                score[index.item[at]] += index.impact[at]
+            for item in np.flatnonzero(score >= decontaminate.LEAST).tolist():
+                q, e = (decontaminate.share(part, {}, passage) for part in index.parts[item])
+                if q >= 0.3 and e >= 0.3:
+                    want[k, item] = max(want.get((k, item), (0.0, 0.0, 0.0)), (q, e, score[item]))
+    want = [(k, item, s, q, e) for (k, item), (q, e, s) in sorted(want.items())]
+    got = decontaminate._leaks(texts, index, 0.3, 0.3)
+    single = [(k, *found[1:]) for k, t in enumerate(texts) for found in decontaminate._leaks([t], index, 0.3, 0.3)]
+    assert len(want) > 30 and [w[:2] for w in want] == [g[:2] for g in got] == [g[:2] for g in single]
+    assert np.allclose(want, got) and np.allclose(want, single)
+
+
+def test_decontamination_look_ups(monkeypatch):
+    """A passage without an item costs far less than looking each of its words up in each block."""
+    rnd, places, done = random.Random(24), decontaminate._places, []
+    words = [f"{w}{k}" for k in range(100) for w in WORDS]
+    _, index = benchmark_index(rnd, 200, words, decontaminate.RATIO)
+    texts = [uneven(rnd, words, 8 * index.longest) for _ in range(40)]
+    monkeypatch.setattr(decontaminate, "_places", lambda starts, n: done.append(int(n.sum())) or places(starts, n))
+    assert decontaminate._leaks(texts, index, 0.6, 0.5) == []
+    assert 0 < sum(done) < 25 * len(texts) * 8 * index.blocks
+
+
 def test_byte_bpe(spark):
     import tiktoken
 
